@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 MAX_PINNED_ROWS = 10_000
 
 
 def pin(df: DataFrame, max_rows: int = MAX_PINNED_ROWS) -> DataFrame:
-    """Turn a table of at most ``max_rows`` rows into a literal table, else return it as is.
+    """Turn a table of at most ``max_rows`` rows into a broadcast literal, else return it as is.
 
-    A literal table has an exact size in Catalyst's statistics, so the planner
-    broadcasts it by its own threshold; a larger one stays a shuffled join side.
+    A larger table stays a shuffled join side; the result is the same.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+    table = df.limit(max_rows + 1).toArrow()
+    if table.num_rows > max_rows:
         return df
-    return df.sparkSession.createDataFrame(rows, df.schema)
+    return F.broadcast(df.sparkSession.createDataFrame(table, df.schema))

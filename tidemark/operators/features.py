@@ -59,12 +59,12 @@ def calendar_features(spec: FleetSpec) -> dict[str, Column]:
 
 
 def feature_frame(df: DataFrame, spec: FleetSpec, horizons: tuple[int, ...] | None = None,
-                  mode: str = "N0") -> DataFrame:
+                  mode: str = "N0", carry: tuple[str, ...] = ()) -> DataFrame:
     """Features and targets of every row and horizon, before the row law.
 
     Besides keys, features and ``target`` (in the scale of ``mode``) a row carries
     what scoring needs: ``y`` at t, ``y_future`` at t + h, ``y_season``, ``mu``, ``sd``
-    and ``valid``, the row law.
+    and ``valid``, the row law.  ``carry`` names further input columns to keep.
     """
     mode = check_mode(mode)
     require_columns(df, ["env", "series_id", "bucket", "off", "y"])
@@ -79,7 +79,7 @@ def feature_frame(df: DataFrame, spec: FleetSpec, horizons: tuple[int, ...] | No
         for h in horizons
     }
     wide = z.select(
-        "env", "series_id", "bucket", "off", "y", "mu", "sd",
+        "env", "series_id", "bucket", "off", "y", "mu", "sd", *carry,
         *[c.alias(n) for n, c in {**lag_features(spec, "z"), **rolling_features(spec, "z"),
                                   **diff_feature("z"), **calendar_features(spec)}.items()],
         F.lag("y", spec.season).over(w).alias("y_season"),
@@ -93,14 +93,14 @@ def feature_frame(df: DataFrame, spec: FleetSpec, horizons: tuple[int, ...] | No
     long = wide.withColumn("_h", per_h)
     return long.select(
         "env", "series_id", "bucket", "off", F.lit(mode).alias("mode"), "_h.h",
-        *feature_names(spec), "_h.target", "y", "_h.y_future", "y_season", "mu", "sd",
+        *feature_names(spec), "_h.target", "y", "_h.y_future", "y_season", "mu", "sd", *carry,
         (F.col("_full") & F.col("_h.target").isNotNull()).alias("valid"))
 
 
 def feature_matrix(df: DataFrame, spec: FleetSpec, horizons: tuple[int, ...] | None = None,
-                   mode: str = "N0") -> DataFrame:
+                   mode: str = "N0", carry: tuple[str, ...] = ()) -> DataFrame:
     """The rows the row law admits."""
-    return feature_frame(df, spec, horizons, mode).where("valid").drop("valid")
+    return feature_frame(df, spec, horizons, mode, carry).where("valid").drop("valid")
 
 
 def reconcile_rows(matrix: DataFrame, prof: DataFrame, spec: FleetSpec) -> DataFrame:

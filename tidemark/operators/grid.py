@@ -17,16 +17,35 @@ from tidemark.functions.small import pin
 from tidemark.operators.clean import clip_values
 
 
-def origins(raw: DataFrame, spec: FleetSpec) -> DataFrame:
+# Up to this many environments their origins are folded into the plan as literals.
+MAX_LITERAL_ENVS = 64
+
+
+def origins(raw: DataFrame, spec: FleetSpec) -> dict[str, int] | DataFrame:
     """First bucket ``b0`` per environment, over all rows, missing values included.
 
     Reads two columns and keeps one row per environment and task before the shuffle.
+    A few environments come back as a dict, more as a (checked) join side.
     """
-    return pin(raw.groupBy("env").agg(
-        F.min(bucket_of(F.col("time_s"), spec.grid_s)).alias("b0")))
+    found = raw.groupBy("env").agg(
+        F.min(bucket_of(F.col("time_s"), spec.grid_s)).alias("b0"))
+    rows = found.limit(MAX_LITERAL_ENVS + 1).collect()
+    if len(rows) <= MAX_LITERAL_ENVS:
+        return {r["env"]: r["b0"] for r in rows}
+    return pin(found)
+
+
+def with_origin(df: DataFrame, starts: dict[str, int] | DataFrame) -> DataFrame:
+    if not isinstance(starts, dict):
+        return df.join(starts, "env")
+    b0 = F.lit(None).cast("long")
+    for env, start in starts.items():
+        b0 = F.when(F.col("env") == env, F.lit(start).cast("long")).otherwise(b0)
+    return df.withColumn("b0", b0)
 
 
-def to_grid(raw: DataFrame, spec: FleetSpec, starts: DataFrame | None = None) -> DataFrame:
+def to_grid(raw: DataFrame, spec: FleetSpec,
+            starts: dict[str, int] | DataFrame | None = None) -> DataFrame:
     """Mean per (series, bucket) inside the window ``[b0, b0 + n_buckets)``.
 
     Rows outside the window collapse into one row per series with a NULL bucket:
@@ -34,7 +53,7 @@ def to_grid(raw: DataFrame, spec: FleetSpec, starts: DataFrame | None = None) ->
     """
     starts = origins(raw, spec) if starts is None else starts
     b = bucket_of(F.col("time_s"), spec.grid_s)
-    rows = clip_values(raw, spec).join(starts, "env").select(
+    rows = with_origin(clip_values(raw, spec), starts).select(
         "env", "series_id", "b0", "value", "is_high", "is_low",
         F.when((b >= F.col("b0")) & (b < F.col("b0") + spec.n_buckets), b).alias("bucket"),
     )
