@@ -16,7 +16,7 @@ _RAW = {
          " CAST(value AS DOUBLE) AS value FROM events",
     "B": "SELECT 'B' AS env, o_orderstatus || '_' || o_orderpriority AS series_id,"
          " CAST(floor(epoch(o_orderdate)) AS BIGINT) AS time_s,"
-         " CAST(o_totalprice AS DOUBLE) / 4800 AS value FROM orders",
+         " sqrt(CAST(o_totalprice AS DOUBLE)) / 7 AS value FROM orders",
     "C": "SELECT 'C' AS env, 's' || CAST(l_suppkey AS VARCHAR) AS series_id,"
          " CAST(floor(epoch(l_shipdate)) AS BIGINT) AS time_s,"
          " CAST(l_quantity AS DOUBLE) AS value FROM lineitem",

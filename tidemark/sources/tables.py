@@ -25,10 +25,10 @@ def event_fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Environment B: one series per order status and priority, price in units of 4800."""
+    """Environment B: one series per order status and priority, square root of the price over 7."""
     return as_series(
         _table(spark, sf_dir, "orders"), "B", F.concat_ws("_", "o_orderstatus", "o_orderpriority"),
-        "o_orderdate", F.col("o_totalprice") / 4800)
+        "o_orderdate", F.sqrt("o_totalprice") / 7)
 
 
 def supplier_fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
