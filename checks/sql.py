@@ -35,8 +35,8 @@ def r(expr: str, name: str | None = None, digits: int = 6) -> str:
     return f"CASE WHEN {x} = 0 THEN CAST(0 AS DOUBLE) ELSE {x} END AS {name or expr}"
 
 
-def rs(*names: str) -> str:
-    return ", ".join(r(n) for n in names)
+def rs(*names: str, digits: int = 6) -> str:
+    return ", ".join(r(n, digits=digits) for n in names)
 
 
 def params(envs) -> str:

@@ -9,9 +9,10 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def two_sided_normal(z: pd.Series) -> pd.Series:
     """P(|Z| >= |z|) of a standard normal variable."""
     return z.map(lambda v: None if pd.isna(v) else math.erfc(abs(v) / math.sqrt(2)))
@@ -35,7 +36,7 @@ def _t_two_sided(t: float, df: float) -> float:
     return min(1.0, 2 * norm * body)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def two_sided_student(t: pd.Series, df: pd.Series) -> pd.Series:
     """P(|T| >= |t|) of Student's t with ``df`` degrees of freedom."""
     return pd.Series([

@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.config import FleetSpec
 from tidemark.functions.ordered import quantiles
@@ -67,7 +68,7 @@ def classical_acf(df: DataFrame, spec: FleetSpec, lags: dict[str, int]) -> DataF
         for name in lags])
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def partial_autocorrelations(acf_by_lag: pd.Series) -> pd.Series:
     """Durbin-Levinson over a batch of series at once.
 
