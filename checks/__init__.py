@@ -7,6 +7,6 @@ def all_queries():
 
     from checks.registry import REGISTRY
 
-    for module in ("queries_grid", "queries_features", "queries_series"):
+    for module in ("queries_grid", "queries_features", "queries_series", "queries_tests"):
         importlib.import_module(f"checks.{module}")
     return dict(REGISTRY)

@@ -202,7 +202,7 @@ def wilcoxon(src: str, keys: str, name: str) -> str:
     """Signed-rank test of a against b from one row per series."""
     using = keys
     return (
-        f"{name}_d AS (SELECT {keys}, a, b, a - b AS diff FROM {src} WHERE a IS NOT NULL AND b IS NOT NULL), "
+        f"{name}_d AS (SELECT {keys}, a, b, round(a - b, 9) AS diff FROM {src} WHERE a IS NOT NULL AND b IS NOT NULL), "
         f"{name}_r AS (SELECT {keys}, diff, rank() OVER (PARTITION BY {keys} ORDER BY abs(diff))"
         f" + (count(*) OVER (PARTITION BY {keys}, abs(diff)) - 1) / 2.0 AS rk,"
         f" count(*) OVER (PARTITION BY {keys}, abs(diff)) AS ties FROM {name}_d WHERE diff <> 0), "
@@ -221,9 +221,10 @@ def wilcoxon(src: str, keys: str, name: str) -> str:
 def mann_whitney(src: str, keys: str, name: str) -> str:
     """Rank-sum test of side a against b."""
     return (
+        f"{name}_v AS (SELECT {keys}, side, round(value, 9) AS value FROM {src}), "
         f"{name}_r AS (SELECT {keys}, side, value, rank() OVER (PARTITION BY {keys} ORDER BY value)"
         f" + (count(*) OVER (PARTITION BY {keys}, value) - 1) / 2.0 AS rk,"
-        f" count(*) OVER (PARTITION BY {keys}, value) AS ties FROM {src} WHERE value IS NOT NULL), "
+        f" count(*) OVER (PARTITION BY {keys}, value) AS ties FROM {name}_v WHERE value IS NOT NULL), "
         f"{name}_g AS (SELECT {keys}, count(*) FILTER (side = 'a') AS a_n, count(*) FILTER (side = 'b') AS b_n,"
         " median(value) FILTER (side = 'a') AS a_p50, median(value) FILTER (side = 'b') AS b_p50,"
         " sum(rk) FILTER (side = 'a') AS ra, sum(ties * ties - 1.0) AS tie, count(*) AS n"

@@ -18,6 +18,9 @@ from tidemark.functions.tails import two_sided_normal, two_sided_student
 ALPHA = 0.05
 # Differences this small count as no difference at all.
 ALL_EQUAL = 1e-8
+# Ranked values are rounded first: a mean summed in another partition order differs in its
+# last bits, and without rounding that noise would break mathematical ties at random.
+TIE_DIGITS = 9
 
 
 def wilcoxon(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -27,7 +30,7 @@ def wilcoxon(pairs: DataFrame, keys: list[str]) -> DataFrame:
     direction: the difference of the medians can have the other sign.
     """
     d = keep(pairs.where(F.col("a").isNotNull() & F.col("b").isNotNull())
-             .withColumn("diff", F.col("a") - F.col("b")))
+             .withColumn("diff", F.round(F.col("a") - F.col("b"), TIE_DIGITS)))
     size = d.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_series"),
         F.count_if(F.col("diff") < 0).alias("n_a_lower"),
@@ -65,7 +68,8 @@ def mann_whitney(samples: DataFrame, keys: list[str]) -> DataFrame:
     A positive effect means that side 'a' tends to the larger values.  Keys where one
     side is empty have no test and no row.
     """
-    s = keep(samples.where(F.col("value").isNotNull()))
+    s = keep(samples.where(F.col("value").isNotNull())
+             .withColumn("value", F.round("value", TIE_DIGITS)))
     medians = quantiles(s, [*keys, "side"], "value", {"p50": 0.5})
     medians = medians.groupBy(*keys).pivot("side", ["a", "b"]).agg(
         F.first("p50").alias("p50"), F.first("n").alias("n"))
@@ -90,7 +94,8 @@ def mann_whitney(samples: DataFrame, keys: list[str]) -> DataFrame:
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Rank correlation per key and its p-value by the t approximation."""
-    rows = keep(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y))
+    rows = keep(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
+        *keys, F.round(x, TIE_DIGITS).alias(x), F.round(y, TIE_DIGITS).alias(y)))
     rx = value_ranks(rows.select(*keys, x), keys, x).select(*keys, x, F.col("avg_rank").alias("_rx"))
     ry = value_ranks(rows.select(*keys, y), keys, y).select(*keys, y, F.col("avg_rank").alias("_ry"))
     ranked = rows.join(rx, [*keys, x]).join(ry, [*keys, y])

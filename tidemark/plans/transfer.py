@@ -12,7 +12,7 @@ from tidemark.functions.scalar import safe_div
 from tidemark.functions.small import pin
 from tidemark.operators.metrics import per_series_metrics
 from tidemark.operators.normalize import to_raw_scale
-from tidemark.operators.splits import fit_rows, test_rows
+from tidemark.operators.splits import test_rows
 
 RESULT_KEYS = ["source", "target", "mode", "calendar", "h", "model"]
 
@@ -41,20 +41,17 @@ def raw_scale_predictions(scored: DataFrame, mode: str, pred: str = "prediction"
         "yhat", to_raw_scale(mode, F.col(pred), F.col("y"), F.col("mu"), F.col("sd")))
 
 
-def level_reference(source: DataFrame, target: DataFrame, spec_source: FleetSpec,
-                    spec_target: FleetSpec, mode: str) -> DataFrame:
-    """Constant forecast: the source's mean target over its fit rows, scored on the target's test rows.
+def level_reference(fit: DataFrame, test: DataFrame, mode: str) -> DataFrame:
+    """Constant forecast: the source's mean target over its fit rows, scored on every test row.
 
     It knows nothing but the level, so a transfer result near it says nothing either.
-    One number per (env, h) crosses between the environments.
+    ``fit`` and ``test`` may hold several environments; what crosses between them is
+    one number per (environment, horizon).
     """
-    level = pin(fit_rows(source, spec_source).groupBy("h").agg(
-        F.avg("target").alias("prediction"), F.first("env").alias("source")))
-    scored = test_rows(target, spec_target).join(level, "h")
-    pred = raw_scale_predictions(scored, mode).withColumn("target_env", F.col("env"))
-    keys = ["source", "target_env", "mode", "h", "series_id"]
-    m = per_series_metrics(pred, keys).withColumnRenamed("target_env", "target")
-    return m.withColumn("model", F.lit("level"))
+    level = pin(fit.groupBy(F.col("env").alias("source"), "h").agg(F.avg("target").alias("prediction")))
+    pred = raw_scale_predictions(test.withColumnRenamed("env", "target_env").join(level, "h"), mode)
+    m = per_series_metrics(pred, ["source", "target_env", "mode", "h", "series_id"])
+    return m.withColumnRenamed("target_env", "target").withColumn("model", F.lit("level"))
 
 
 def constant_level(grid_source: DataFrame, matrix_target: DataFrame, bounds: tuple[int, int],
