@@ -7,6 +7,7 @@ def all_queries():
 
     from checks.registry import REGISTRY
 
-    for module in ("queries_grid", "queries_features", "queries_series", "queries_tests"):
+    for module in ("queries_grid", "queries_features", "queries_series", "queries_tests",
+                   "queries_models"):
         importlib.import_module(f"checks.{module}")
     return dict(REGISTRY)

@@ -28,6 +28,14 @@ def safe_div(a: Column, b: Column) -> Column:
     return a / F.when(b != 0, b)
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson correlation as an aggregate, NULL for a constant side.
+
+    The built-in one raises a division error there in ANSI mode.
+    """
+    return safe_div(F.covar_pop(a, b), F.sqrt(F.var_pop(a) * F.var_pop(b)))
+
+
 def bucket_of(time_s: Column, grid_s: int) -> Column:
     return F.floor(time_s / F.lit(grid_s)).cast("long")
 

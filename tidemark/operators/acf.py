@@ -14,7 +14,9 @@ from pyspark.sql import types as T
 
 from tidemark.config import FleetSpec
 from tidemark.functions.ordered import quantiles
-from tidemark.functions.scalar import SERIES, finite, series_window, whole_series
+from tidemark.functions.scalar import (
+    SERIES, correlation, finite, safe_div, series_window, whole_series,
+)
 
 MIN_PAIRS = 30
 MIN_SUM_OF_SQUARES = 1e-12
@@ -26,7 +28,7 @@ def _pearson(a: Column, b: Column, min_pairs: int) -> tuple[Column, Column]:
     pa, pb = F.when(both, a), F.when(both, b)
     n = F.count(pa)
     spread = (F.var_pop(pa) * n > MIN_SUM_OF_SQUARES) & (F.var_pop(pb) * n > MIN_SUM_OF_SQUARES)
-    return F.when((n >= min_pairs) & spread, finite(F.corr(pa, pb))), n
+    return F.when((n >= min_pairs) & spread, finite(correlation(pa, pb))), n
 
 
 def acf(df: DataFrame, lags: list[int], col: str = "y", min_pairs: int = MIN_PAIRS) -> DataFrame:
@@ -115,7 +117,7 @@ def acf_summary(acf_table: DataFrame) -> DataFrame:
     probs = {"acf_p25": 0.25, "acf_p50": 0.5, "acf_p75": 0.75}
     q = quantiles(acf_table, ["env", "lag"], "acf", probs).withColumnRenamed("n", "n_series")
     lost = acf_table.groupBy("env", "lag").agg(
-        (100 * (1 - F.sum("n_pairs") / F.sum("n_slots"))).alias("pairs_lost_pct"))
+        (100 * (1 - safe_div(F.sum("n_pairs"), F.sum("n_slots")))).alias("pairs_lost_pct"))
     return q.join(lost, ["env", "lag"])
 
 

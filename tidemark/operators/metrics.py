@@ -50,7 +50,7 @@ def per_series_metrics(pred: DataFrame, keys: list[str], y: str = "y_true",
         F.sqrt(F.avg(e * e)).alias("rmse"),
         (100 * F.avg(F.when(half == 0, F.lit(0.0)).otherwise(safe_div(F.abs(e), half)))).alias("smape"),
         safe_div(F.avg(F.abs(e)), scale).alias("mase"),
-        F.when(F.min(y) != F.max(y), 1 - F.sum(e * e) / total).alias("r2"),
+        F.when(F.min(y) != F.max(y), 1 - safe_div(F.sum(e * e), total)).alias("r2"),
     )
 
 

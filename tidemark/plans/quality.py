@@ -226,8 +226,9 @@ def recovered_parameters(raw_matrix: DataFrame, z_matrix: DataFrame, table: Data
     k = ["env", "series_id", "bucket", "h"]
     both = raw_matrix.select(*k, F.col("lag_1").alias("_y")).join(
         z_matrix.select(*k, F.col("lag_1").alias("_z")), k)
+    slope = safe_div(F.covar_pop("_y", "_z"), F.var_pop("_z"))
     fit = both.groupBy(*SERIES).agg(
-        F.regr_slope("_y", "_z").alias("sd_back"), F.regr_intercept("_y", "_z").alias("mu_back"),
+        slope.alias("sd_back"), (F.avg("_y") - slope * F.avg("_z")).alias("mu_back"),
         F.count(F.lit(1)).alias("n"), F.max("_z").alias("_hi"), F.min("_z").alias("_lo"))
     x = fit.where((F.col("n") >= 2) & (F.col("_hi") > F.col("_lo"))).join(
         table.where(F.col("mode") == "N1"), SERIES, "left")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.ordered import keep, quantiles, value_ranks
-from tidemark.functions.scalar import median_of, safe_div
+from tidemark.functions.scalar import correlation, median_of, safe_div
 from tidemark.functions.tails import two_sided_normal, two_sided_student
 
 ALPHA = 0.05
@@ -99,7 +99,7 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     rx = value_ranks(rows.select(*keys, x), keys, x).select(*keys, x, F.col("avg_rank").alias("_rx"))
     ry = value_ranks(rows.select(*keys, y), keys, y).select(*keys, y, F.col("avg_rank").alias("_ry"))
     ranked = rows.join(rx, [*keys, x]).join(ry, [*keys, y])
-    r = ranked.groupBy(*keys).agg(F.corr("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n_series"))
+    r = ranked.groupBy(*keys).agg(correlation(F.col("_rx"), F.col("_ry")).alias("rho"), F.count(F.lit(1)).alias("n_series"))
     dof = F.col("n_series") - 2
     t = F.col("rho") * F.sqrt(safe_div(dof.cast("double"), 1 - F.col("rho") * F.col("rho")))
     return r.withColumn("p", two_sided_student(t, dof.cast("double")))
