@@ -80,16 +80,12 @@ NAIVE = [*S.frame(), *S.baseline_preds(), S.metrics("pred", "env, h, model, seri
 
 
 def transfer_metrics(spark, sf, modes=N.MODES, train_only: bool = False):
-    out = None
     grids = {e: keep(grid(spark, sf, e)) for e in S.ALL}
-    for mode in modes:
-        mats = {e: feature_matrix(grids[e], SPECS[e], mode=mode) for e in S.ALL}
-        fit = each(lambda e: (V.with_split(mats[e], SPECS[e]).where(F.col("split") == "train").drop("split")
-                              if train_only else V.fit_rows(mats[e], SPECS[e])))
-        test = each(lambda e: V.test_rows(mats[e], SPECS[e]))
-        m = T.level_reference(fit, test, mode)
-        out = m if out is None else out.unionByName(m)
-    return keep(out)
+    mats = {(e, m): feature_matrix(grids[e], SPECS[e], mode=m) for e in S.ALL for m in modes}
+    bounds = {e: SPECS[e].bounds["train"] if train_only else SPECS[e].fit_bounds for e in S.ALL}
+    fit = each(lambda k: mats[k].where(V.in_range(*bounds[k[0]])), mats)
+    test = each(lambda k: V.test_rows(mats[k], SPECS[k[0]]), mats)
+    return keep(T.level_reference(fit, test))
 
 
 def _off_diagonal(tr):

@@ -27,6 +27,21 @@ def keep(df: DataFrame) -> DataFrame:
     return df if df.is_cached else df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """A table that many jobs will read: written to the cluster's checkpoint folder if it names one.
+
+    What is checkpointed outlives the executors that made it and cuts the lineage.
+    Without ``spark.checkpoint.dir`` the table is only persisted.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return keep(df)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def _split_points(df: DataFrame, col: str, rows_per_task: int) -> list[float]:
     """Inner edges of value ranges with about ``rows_per_task`` rows; none for a small table."""
     n = df.count()

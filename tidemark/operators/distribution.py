@@ -61,13 +61,14 @@ def ecdf(df: DataFrame, xs: list[float], col: str = "y") -> DataFrame:
     coarse = F.greatest(F.least(F.floor((v - xs[0]) / F.lit(width)), F.lit(last)), F.lit(0))
     near = df.where(v.isNotNull()).select("env", v.alias("_v"), coarse.cast("long").alias("_c"))
     idx = F.col("_before") + F.size(F.filter("_xs", lambda x: x < F.col("_v")))
-    counted = near.join(lookup, "_c").groupBy("env", idx.alias("i")).agg(F.count(F.lit(1)).alias("_n"))
+    # Both side tables have one row per grid point at most, a number the caller chose.
+    counted = near.join(F.broadcast(lookup), "_c").groupBy("env", idx.alias("i")).agg(F.count(F.lit(1)).alias("_n"))
     totals = counted.groupBy("env").agg(F.sum("_n").alias("n_points"))
     points = spark.createDataFrame(list(enumerate(xs)), "i int, x double")
     frame = totals.select("env", "n_points", F.explode(F.sequence(F.lit(0), F.lit(len(xs) - 1))).alias("i"))
     run = F.sum(F.coalesce("_n", F.lit(0))).over(Window.partitionBy("env").orderBy("i"))
     return (
-        frame.join(counted, ["env", "i"], "left").withColumn("_le", run).join(points, "i")
+        frame.join(counted, ["env", "i"], "left").withColumn("_le", run).join(F.broadcast(points), "i")
         .select("env", "x", (F.col("_le") / F.col("n_points")).alias("share"))
     )
 

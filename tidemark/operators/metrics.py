@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import FleetSpec
-from tidemark.functions.ordered import quantiles
+from tidemark.functions.ordered import keep, quantiles
 from tidemark.functions.scalar import SERIES, finite, median_of, safe_div, series_window, whole_series
 from tidemark.functions.small import pin
 
@@ -99,7 +99,7 @@ def validation_score(pred: DataFrame, keys: list[str]) -> DataFrame:
 
 def stratified_report(per_series: DataFrame, strata: DataFrame, keys: list[str]) -> DataFrame:
     """Metric quartiles by stratum with the stratum's median CV and bound ratio."""
-    d = per_series.join(strata.select(*SERIES, "stratum", "cv", "bound_ratio"), SERIES, "left")
+    d = keep(per_series.join(strata.select(*SERIES, "stratum", "cv", "bound_ratio"), SERIES, "left"))
     k = [*keys, "stratum"]
     levels = quantiles(
         d.select(*k, "cv", "bound_ratio").unpivot(k, ["cv", "bound_ratio"], "what", "value"),

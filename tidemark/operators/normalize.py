@@ -94,6 +94,11 @@ def to_raw_scale(mode: str, pred: Column, y: Column | None = None, mu: Column |
     return y + pred
 
 
+def by_mode_to_raw_scale(mode: Column, pred: Column, y: Column, mu: Column, sd: Column) -> Column:
+    """The same for rows of several modes."""
+    return F.coalesce(*[F.when(mode == m, to_raw_scale(m, pred, y, mu, sd)) for m in MODES])
+
+
 INVARIANT_LIMITS = {"naive_n0_n1": 1e-9, "ma6_n0_n1": 1e-9, "naive_n0_n2": 0.0}
 
 

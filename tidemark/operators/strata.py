@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.ordered import quantiles
+from tidemark.functions.ordered import keep, quantiles
 from tidemark.functions.scalar import SERIES, safe_div
 from tidemark.functions.small import pin
 
@@ -50,6 +50,7 @@ def cv_thresholds(b: DataFrame) -> DataFrame:
 
 def assign_strata(b: DataFrame, thresholds: DataFrame | None = None) -> DataFrame:
     """``low`` below t1, ``mid`` from t1, ``high`` from t2."""
+    b = keep(b)
     t = pin(cv_thresholds(b) if thresholds is None else thresholds)
     cv = F.col("cv")
     stratum = (

@@ -11,7 +11,7 @@ from tidemark.config import FleetSpec
 from tidemark.functions.scalar import safe_div
 from tidemark.functions.small import pin
 from tidemark.operators.metrics import per_series_metrics
-from tidemark.operators.normalize import to_raw_scale
+from tidemark.operators.normalize import by_mode_to_raw_scale, to_raw_scale
 from tidemark.operators.splits import test_rows
 
 RESULT_KEYS = ["source", "target", "mode", "calendar", "h", "model"]
@@ -35,21 +35,27 @@ def missing_work(grid: DataFrame, done: DataFrame) -> DataFrame:
         F.sort_array(F.collect_set(F.struct("model", "target"))).alias("work"))
 
 
-def raw_scale_predictions(scored: DataFrame, mode: str, pred: str = "prediction") -> DataFrame:
-    """``y_true`` and ``yhat`` on the raw scale, by the target series' own parameters."""
-    return scored.withColumn("y_true", F.col("y_future")).withColumn(
-        "yhat", to_raw_scale(mode, F.col(pred), F.col("y"), F.col("mu"), F.col("sd")))
+def raw_scale_predictions(scored: DataFrame, mode: str | None = None,
+                          pred: str = "prediction") -> DataFrame:
+    """``y_true`` and ``yhat`` on the raw scale, by the target series' own parameters.
+
+    Without ``mode`` each row's own ``mode`` column decides.
+    """
+    args = F.col(pred), F.col("y"), F.col("mu"), F.col("sd")
+    yhat = by_mode_to_raw_scale(F.col("mode"), *args) if mode is None else to_raw_scale(mode, *args)
+    return scored.withColumns({"y_true": F.col("y_future"), "yhat": yhat})
 
 
-def level_reference(fit: DataFrame, test: DataFrame, mode: str) -> DataFrame:
+def level_reference(fit: DataFrame, test: DataFrame) -> DataFrame:
     """Constant forecast: the source's mean target over its fit rows, scored on every test row.
 
     It knows nothing but the level, so a transfer result near it says nothing either.
-    ``fit`` and ``test`` may hold several environments; what crosses between them is
-    one number per (environment, horizon).
+    ``fit`` and ``test`` may hold several environments and modes; what crosses between
+    environments is one number per (environment, mode, horizon).
     """
-    level = pin(fit.groupBy(F.col("env").alias("source"), "h").agg(F.avg("target").alias("prediction")))
-    pred = raw_scale_predictions(test.withColumnRenamed("env", "target_env").join(level, "h"), mode)
+    level = pin(fit.groupBy(F.col("env").alias("source"), "mode", "h").agg(
+        F.avg("target").alias("prediction")))
+    pred = raw_scale_predictions(test.withColumnRenamed("env", "target_env").join(level, ["mode", "h"]))
     m = per_series_metrics(pred, ["source", "target_env", "mode", "h", "series_id"])
     return m.withColumnRenamed("target_env", "target").withColumn("model", F.lit("level"))
 
