@@ -11,10 +11,11 @@ combined.  Both ways are exact and give the same result.
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Most rows a single window partition or percentile buffer is allowed to hold.
@@ -27,19 +28,28 @@ def keep(df: DataFrame) -> DataFrame:
     return df if df.is_cached else df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """A table that many jobs will read: written to the cluster's checkpoint folder if it names one.
+def stage_folder(spark: SparkSession) -> str | None:
+    """Shared folder for stage tables, as the cluster names it."""
+    return spark.conf.get("spark.checkpoint.dir", None)
 
-    What is checkpointed outlives the executors that made it and cuts the lineage.
-    Without ``spark.checkpoint.dir`` the table is only persisted.
+
+def settle(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """A table that many jobs will read: written into the cluster's checkpoint folder if it names one.
+
+    What is written outlives the executors that made it, cuts the lineage and is read
+    back with column and partition pruning.  Without ``spark.checkpoint.dir`` the table
+    is only persisted.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = stage_folder(spark)
     if not folder:
         return keep(df)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = f"{folder.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    writer = df.write.partitionBy(*by) if by else df.write
+    writer.parquet(path)
+    # Partition values come back typed as written, not as inferred from folder names.
+    back = spark.read.schema(df.schema).parquet(path)
+    return back.select(*df.columns)
 
 
 def _split_points(df: DataFrame, col: str, rows_per_task: int) -> list[float]:

@@ -27,6 +27,17 @@ def write_matrix(matrix: DataFrame, path: str) -> None:
     write_partitioned(matrix, path, ["env", "mode", "h"])
 
 
+def save_series_table(df: DataFrame, table: str, buckets: int) -> None:
+    """Regular series as a table bucketed by series and sorted by time.
+
+    Feature matrices, metrics and joins per series then read it without a shuffle.
+    """
+    (
+        df.write.mode("overwrite").bucketBy(buckets, "env", "series_id")
+        .sortBy("env", "series_id", "bucket").saveAsTable(table)
+    )
+
+
 def read_table(spark: SparkSession, path: str, schema: str | None = None, fmt: str = "parquet") -> DataFrame:
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.option("header", True).format(fmt).load(path)
