@@ -275,6 +275,15 @@ def kept_vs_listed(spark, sf):
     return each(one)
 
 
+@query(S.q(prof_sql(), "SELECT env, series_id FROM prof WHERE reject_reason = ''"))
+def kept_and_listed(spark, sf):
+    def one(e):
+        reg = regular(spark, sf, e)
+        prof = C.profile(reg, SPECS[e])
+        return Q.shared_keys(C.processed(reg, prof), prof, ["env", "series_id"])
+    return each(one)
+
+
 @query(S.q(prof_sql(), "SELECT count(DISTINCT 'host-1') AS n_hosts, count(DISTINCT env) AS n_runs, 'warn' AS status FROM prof"))
 def gate_provenance(spark, sf):
     """Environments built in separate runs on one host: a warning, not a failure."""

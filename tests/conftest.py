@@ -24,4 +24,6 @@ def spark():
 def _drop_cache(request):
     yield
     if "spark" in request.fixturenames:
-        request.getfixturevalue("spark").catalog.clearCache()
+        from tidemark.functions.ordered import release
+
+        release()

@@ -89,6 +89,12 @@ def test_stratified_report(spark):
     assert r["low", "mase"].n_excluded == 1 and r["high", "mae"].p50 == 4.0
 
 
+def test_report_order(spark):
+    df = spark.createDataFrame([("B", "ma6"), ("A", "other"), ("A", "ma6"), ("A", "naive")], "env string, model string")
+    got = [tuple(r) for r in M.in_report_order(df, ["env", "model"], {"model": ["naive", "ma6", "seasonal"]}).collect()]
+    assert got == [("A", "naive"), ("A", "ma6"), ("A", "other"), ("B", "ma6")]
+
+
 def test_nested_medians(spark):
     df = spark.createDataFrame([("x", "a", 1.0), ("x", "a", 3.0), ("x", "b", 10.0), ("y", "a", 5.0)],
                                "g string, k string, v double")

@@ -63,6 +63,7 @@ def test_catalog_gate(spark):
     assert Q.provenance_gate(later).first().status == "warn"
     s = by_key(Q.schema_gate(cat.drop("p50"), cat.columns, exact=True), "check", "n_bad")
     assert s == {"missing_columns": 1, "extra_columns": 0}
+    assert Q.shared_keys(cat, cat.where("series_id = 'a'"), ["series_id"]).count() == 1
     diff = Q.set_difference(cat, cat.where("series_id = 'a'"), ["series_id"]).collect()
     assert [(r.series_id, r.side) for r in diff] == [("b", "only_first")]
 

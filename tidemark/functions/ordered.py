@@ -23,9 +23,24 @@ ROWS_PER_TASK = 1_000_000
 MAX_BINS = 10_000
 
 
+_kept: list[DataFrame] = []
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Persist a table that is read more than once; lost blocks are recomputed from lineage."""
-    return df if df.is_cached else df.persist(StorageLevel.MEMORY_AND_DISK)
+    if df.is_cached:
+        return df
+    _kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return df
+
+
+def release() -> None:
+    """Give up every table kept so far, once the results that read them are stored.
+
+    A result still to be computed stays right; it is computed from its sources again.
+    """
+    while _kept:
+        _kept.pop().unpersist()
 
 
 def stage_folder(spark: SparkSession) -> str | None:

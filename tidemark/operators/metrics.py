@@ -127,6 +127,17 @@ def _strata_quartiles(d: DataFrame, k: list[str]) -> DataFrame:
         F.col("n").alias("n_series"), (F.col("_all") - F.col("n")).alias("n_excluded"))
 
 
+def in_report_order(df: DataFrame, by: list[str], ranked: dict[str, list[str]]) -> DataFrame:
+    """Sort a result table by ``by``; columns in ``ranked`` follow the listed order of their values."""
+    def key(c: str) -> Column:
+        if c not in ranked:
+            return F.col(c)
+        place = F.array_position(F.array(*[F.lit(v) for v in ranked[c]]), F.col(c))
+        return F.when(place > 0, place).asc_nulls_last()
+
+    return df.orderBy(*[key(c) for c in by])
+
+
 def nested_medians(df: DataFrame, inner: list[str], outer: list[str], value: str,
                    out: str) -> DataFrame:
     """Median over groups of the median inside each group; the outer groups are few."""

@@ -71,6 +71,10 @@ def set_difference(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return only_a.unionByName(only_b)
 
 
+def shared_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    return a.select(*keys).intersect(b.select(*keys))
+
+
 def provenance_gate(cat: DataFrame) -> DataFrame:
     """One host and one run for the whole catalog."""
     p = cat.agg(F.count_distinct("built_on").alias("n_hosts"), F.count_distinct("built_at").alias("n_runs"))
