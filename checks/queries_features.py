@@ -8,6 +8,7 @@ from checks import sql as S
 from checks.fleets import baseline_metrics, each, grid, matrix, regular, rounded, scaled_matrix
 from checks.queries_grid import prof_sql
 from checks.registry import query
+from tidemark.functions.ordered import keep
 from tidemark.operators import catalog as C
 from tidemark.operators import features as X
 from tidemark.operators import metrics as M
@@ -234,9 +235,9 @@ def inverse_mapped_naive(spark, sf):
             m = m.withColumn("prediction", F.lit(0.0) if mode == "N2" else F.col("lag_1") + F.col("diff_1"))
             p = M.per_series_metrics(raw_scale_predictions(m, mode), ["env", "mode", "series_id"])
             out = p if out is None else out.unionByName(p)
-        return out.groupBy("env", "mode").agg(
-            F.count(F.lit(1)).alias("n_series"), F.percentile("mae", F.lit(0.5)).alias("mae_p50"),
-            F.avg("rmse").alias("rmse_mean"))
+        out = keep(out)
+        med = M.quantiles(out, ["env", "mode"], "mae", {"mae_p50": 0.5}).withColumnRenamed("n", "n_series")
+        return med.join(out.groupBy("env", "mode").agg(F.avg("rmse").alias("rmse_mean")), ["env", "mode"])
     return rounded(each(one))
 
 

@@ -347,5 +347,5 @@ def constant_level_reference(spark, sf):
         for s, _ in [p for p in PAIRS if p[1] == t]:
             c = constant_level(grids[s], matrix(spark, sf, t, horizons=(1,)), SPECS[s].bounds["train"], SPECS[t], [(s, t)])
             out = c if out is None else out.unionByName(c)
-    return rounded(out.groupBy("source", "target", "model", "h").agg(
-        F.percentile("mae", F.lit(0.5)).alias("mae_p50"), F.count(F.lit(1)).alias("n_series")))
+    return rounded(M.quantiles(out, ["source", "target", "model", "h"], "mae", {"mae_p50": 0.5}).withColumnRenamed(
+        "n", "n_series"))

@@ -414,10 +414,10 @@ def verdict_scorecard(spark, sf):
 def gate_claims(spark, sf):
     """Published two-decimal medians against the recomputed ones."""
     totals = M.series_totals(each(lambda e: grid(spark, sf, e)))
-    agg = M.aggregate_metrics(_all_baselines(spark, sf), ["env", "h", "model"], totals, metrics=("mae",))
+    per = keep(_all_baselines(spark, sf))
+    agg = M.aggregate_metrics(per, ["env", "h", "model"], totals, metrics=("mae",))
     item = F.concat_ws("/", "env", F.col("h").cast("string"), "model").alias("item")
-    per = _all_baselines(spark, sf)
-    med = per.groupBy("env", "h", "model").agg(F.percentile("mae", F.lit(0.5)).alias("m"))
+    med = M.quantiles(per, ["env", "h", "model"], "mae", {"m": 0.5})
     claimed = med.select(item, F.round("m", 2).alias("claim"), F.lit(2).alias("digits"))
     return rounded(Q.claims(claimed, agg.select(item, F.col("p50").alias("value"))))
 
