@@ -140,3 +140,11 @@ def test_strict_group_mean(spark):
     out = R.strict_group_mean(d, groups).orderBy("bucket").collect()
     assert [r.y for r in out] == [2, 3, None]
     assert [r.is_interp for r in out] == [False, True, False]
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_medians_of_several_columns(spark, small):
+    df = spark.createDataFrame([("x", 1.0, None), ("x", 3.0, 5.0), ("y", 7.0, 1.0)], "k string, a double, b double")
+    got = {r.k: (r.a_p50, r.b_p50) for r in O.medians(df, ["k"], ["a", "b"], small).collect()}
+    assert got == {"x": (2.0, 5.0), "y": (7.0, 1.0)}
+    assert O.is_small(df) and not O.is_small(df, 2)

@@ -67,6 +67,15 @@ def settle(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     return back.select(*df.columns)
 
 
+def is_small(df: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> bool:
+    """Whether the whole table fits one task; computes and keeps it on the way.
+
+    The answer can be passed as ``small`` to the functions below for this table and
+    any part of it, which saves them their own count.
+    """
+    return keep(df).count() <= rows_per_task
+
+
 def _split_points(df: DataFrame, col: str, rows_per_task: int) -> list[float]:
     """Inner edges of value ranges with about ``rows_per_task`` rows; none for a small table."""
     n = df.count()
@@ -95,7 +104,7 @@ def _bin_offsets(binned: DataFrame, keys: list[str], weight: Column) -> DataFram
 
 def value_ranks(
     df: DataFrame, keys: list[str], col: str, sums: dict[str, Column] | None = None,
-    rows_per_task: int = ROWS_PER_TASK,
+    rows_per_task: int = ROWS_PER_TASK, small: bool | None = None,
 ) -> DataFrame:
     """One row per (keys, distinct value) with its place among the rows of the key.
 
@@ -104,9 +113,10 @@ def value_ranks(
     Equal values are collapsed before anything is ordered, so a value that a
     third of the rows share costs one row.
     """
-    df = keep(df.where(F.col(col).isNotNull()))
+    df = df.where(F.col(col).isNotNull())
     aggs = [F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(a) for a, c in (sums or {}).items()]]
-    edges = _split_points(df, col, rows_per_task)
+    df = df if small else keep(df)
+    edges = [] if small else _split_points(df, col, rows_per_task)
     if not edges:
         d = df.groupBy(*keys, col).agg(*aggs)
         w = Window.partitionBy(*keys).orderBy(col)
@@ -140,15 +150,15 @@ def _on(left: DataFrame, keys: list[str]) -> Column:
 
 def quantiles(
     df: DataFrame, keys: list[str], col: str, probs: dict[str, float],
-    rows_per_task: int = ROWS_PER_TASK,
+    rows_per_task: int = ROWS_PER_TASK, small: bool | None = None,
 ) -> DataFrame:
     """Exact linearly interpolated percentiles per key, plus ``n`` (non-NULL rows).
 
     Keys whose values are all NULL keep a row with NULL percentiles.  On the large
     path only the value ranges that hold a wanted position are ordered.
     """
-    df = keep(df.select(*keys, col))
-    edges = _split_points(df, col, rows_per_task)
+    df = df.select(*keys, col) if small else keep(df.select(*keys, col))
+    edges = [] if small else _split_points(df, col, rows_per_task)
     if not edges:
         return df.groupBy(*keys).agg(
             *[F.percentile(col, F.lit(p)).alias(name) for name, p in probs.items()],
@@ -189,6 +199,18 @@ def quantiles(
     return groups.join(picked, cond, "left").select(*keys, *probs, "n")
 
 
+def medians(df: DataFrame, keys: list[str], cols: list[str], small: bool | None = None) -> DataFrame:
+    """Exact medians of several columns per key, as ``<column>_p50``."""
+    if small is None:
+        small = is_small(df)
+    if small:
+        return df.groupBy(*keys).agg(*[F.percentile(c, F.lit(0.5)).alias(f"{c}_p50") for c in cols])
+    long = df.select(*keys, *cols).unpivot(keys, cols, "_column", "_value")
+    q = quantiles(long, [*keys, "_column"], "_value", {"p50": 0.5})
+    wide = q.groupBy(*keys).pivot("_column", cols).agg(F.first("p50"))
+    return wide.withColumnsRenamed({c: f"{c}_p50" for c in cols})
+
+
 def numbered(
     df: DataFrame, order: list[Column], out: str = "rn", rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import FleetSpec
-from tidemark.functions.ordered import keep, quantiles
+from tidemark.functions.ordered import keep, medians, quantiles
 from tidemark.functions.scalar import SERIES, finite, median_of, safe_div, series_window, whole_series
 from tidemark.functions.small import pin
 
@@ -101,12 +101,7 @@ def stratified_report(per_series: DataFrame, strata: DataFrame, keys: list[str])
     """Metric quartiles by stratum with the stratum's median CV and bound ratio."""
     d = keep(per_series.join(strata.select(*SERIES, "stratum", "cv", "bound_ratio"), SERIES, "left"))
     k = [*keys, "stratum"]
-    levels = quantiles(
-        d.select(*k, "cv", "bound_ratio").unpivot(k, ["cv", "bound_ratio"], "what", "value"),
-        [*k, "what"], "value", {"p50": 0.5})
-    levels = levels.groupBy(*k).pivot("what", ["cv", "bound_ratio"]).agg(F.first("p50"))
-    levels = levels.select(*[F.col(c).alias(f"_r_{c}") for c in k],
-                           F.col("cv").alias("cv_p50"), F.col("bound_ratio").alias("bound_ratio_p50"))
+    levels = medians(d, k, ["cv", "bound_ratio"]).withColumnsRenamed({c: f"_r_{c}" for c in k})
     agg = _strata_quartiles(d, k)
     cond = F.lit(True)
     for c in k:

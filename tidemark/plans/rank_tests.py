@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.ordered import keep, quantiles, value_ranks
+from tidemark.functions.ordered import is_small, keep, medians, quantiles, value_ranks
 from tidemark.functions.scalar import correlation, median_of, safe_div
 from tidemark.functions.tails import two_sided_normal, two_sided_student
 
@@ -23,7 +23,7 @@ ALL_EQUAL = 1e-8
 TIE_DIGITS = 9
 
 
-def wilcoxon(pairs: DataFrame, keys: list[str]) -> DataFrame:
+def wilcoxon(pairs: DataFrame, keys: list[str], small: bool | None = None) -> DataFrame:
     """Signed-rank test of ``a`` against ``b`` per key; one input row per series.
 
     ``diff_p50`` is the median of the differences, which alone gives the test its
@@ -31,17 +31,15 @@ def wilcoxon(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """
     d = keep(pairs.where(F.col("a").isNotNull() & F.col("b").isNotNull())
              .withColumn("diff", F.round(F.col("a") - F.col("b"), TIE_DIGITS)))
+    if small is None:
+        small = is_small(d)
     size = d.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_series"),
         F.count_if(F.col("diff") < 0).alias("n_a_lower"),
         F.max(F.abs("diff")).alias("_largest"))
-    medians = (
-        quantiles(d.select(*keys, "a", "b", "diff").unpivot(keys, ["a", "b", "diff"], "what", "value"),
-                  [*keys, "what"], "value", {"p50": 0.5})
-        .groupBy(*keys).pivot("what", ["a", "b", "diff"]).agg(F.first("p50"))
-        .withColumnsRenamed({"a": "a_p50", "b": "b_p50", "diff": "diff_p50"}))
+    middle = medians(d, keys, ["a", "b", "diff"], small)
     moved = d.where(F.col("diff") != 0).select(*keys, "diff", F.abs("diff").alias("size"))
-    ranks = value_ranks(moved, keys, "size", {"n_up": (F.col("diff") > 0).cast("long")})
+    ranks = value_ranks(moved, keys, "size", {"n_up": (F.col("diff") > 0).cast("long")}, small=small)
     n = F.col("_n")
     sums = ranks.groupBy(*keys).agg(
         F.sum(F.col("avg_rank") * F.col("n_up")).alias("w_plus"),
@@ -53,7 +51,7 @@ def wilcoxon(pairs: DataFrame, keys: list[str]) -> DataFrame:
     sums = sums.withColumn("statistic", statistic).withColumn(
         "z", safe_div(statistic - n * (n + 1) / 4, F.sqrt(var)))
     same = F.col("_largest") <= ALL_EQUAL
-    out = size.join(medians, keys).join(sums.select(*keys, "statistic", "z"), keys, "left")
+    out = size.join(middle, keys).join(sums.select(*keys, "statistic", "z"), keys, "left")
     return (
         out.withColumn("statistic", F.when(~same, F.col("statistic")))
         .withColumn("z", F.when(~same, F.col("z")))
@@ -70,10 +68,11 @@ def mann_whitney(samples: DataFrame, keys: list[str]) -> DataFrame:
     """
     s = keep(samples.where(F.col("value").isNotNull())
              .withColumn("value", F.round("value", TIE_DIGITS)))
-    medians = quantiles(s, [*keys, "side"], "value", {"p50": 0.5})
-    medians = medians.groupBy(*keys).pivot("side", ["a", "b"]).agg(
+    small = is_small(s)
+    middle = quantiles(s, [*keys, "side"], "value", {"p50": 0.5}, small=small)
+    middle = middle.groupBy(*keys).pivot("side", ["a", "b"]).agg(
         F.first("p50").alias("p50"), F.first("n").alias("n"))
-    ranks = value_ranks(s, keys, "value", {"n_a": (F.col("side") == "a").cast("long")})
+    ranks = value_ranks(s, keys, "value", {"n_a": (F.col("side") == "a").cast("long")}, small=small)
     sums = ranks.groupBy(*keys).agg(
         F.sum(F.col("avg_rank") * F.col("n_a")).alias("_r"),
         F.sum("n_a").alias("_na"), F.max("n_total").alias("_n"),
@@ -86,7 +85,7 @@ def mann_whitney(samples: DataFrame, keys: list[str]) -> DataFrame:
     z = safe_div(larger - na * nb / 2 - 0.5, F.sqrt(var))
     sums = sums.select(
         *keys, "u_a", (2 * F.col("u_a") / (na * nb) - 1).alias("rank_biserial"), z.alias("z"))
-    out = medians.join(sums, keys)
+    out = middle.join(sums, keys)
     return out.withColumn(
         # The continuity correction can push z below 0, where the p-value is capped at 1.
         "p", F.when(F.col("z") > 0, two_sided_normal("z")).otherwise(F.lit(1.0)))
@@ -96,8 +95,9 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Rank correlation per key and its p-value by the t approximation."""
     rows = keep(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
         *keys, F.round(x, TIE_DIGITS).alias(x), F.round(y, TIE_DIGITS).alias(y)))
-    rx = value_ranks(rows.select(*keys, x), keys, x).select(*keys, x, F.col("avg_rank").alias("_rx"))
-    ry = value_ranks(rows.select(*keys, y), keys, y).select(*keys, y, F.col("avg_rank").alias("_ry"))
+    small = is_small(rows)
+    rx = value_ranks(rows.select(*keys, x), keys, x, small=small).select(*keys, x, F.col("avg_rank").alias("_rx"))
+    ry = value_ranks(rows.select(*keys, y), keys, y, small=small).select(*keys, y, F.col("avg_rank").alias("_ry"))
     ranked = rows.join(rx, [*keys, x]).join(ry, [*keys, y])
     r = ranked.groupBy(*keys).agg(correlation(F.col("_rx"), F.col("_ry")).alias("rho"), F.count(F.lit(1)).alias("n_series"))
     dof = F.col("n_series") - 2
@@ -228,9 +228,11 @@ def loss_table(transfer: DataFrame, diagonal: DataFrame) -> DataFrame:
 
 def transfer_vs_diagonal(loss: DataFrame) -> DataFrame:
     """Does transfer cost anything; Holm per (source, target, h), with the median loss."""
-    x = loss.withColumn("a", F.col("mae")).withColumn("b", F.col("mae_diagonal"))
-    t = wilcoxon(x.select(*TRANSFER_KEYS, "a", "b"), TRANSFER_KEYS)
-    med = quantiles(loss, TRANSFER_KEYS, "loss", {"loss_p50": 0.5}).drop("n")
+    loss = keep(loss)
+    small = is_small(loss)
+    x = loss.select(*TRANSFER_KEYS, F.col("mae").alias("a"), F.col("mae_diagonal").alias("b"))
+    t = wilcoxon(x, TRANSFER_KEYS, small)
+    med = medians(loss, TRANSFER_KEYS, ["loss"], small)
     t = holm(t.join(med, TRANSFER_KEYS), ["source", "target", "h"])
     return verdict(t, "diff_p50", "transfer_better", "transfer_worse")
 
