@@ -11,7 +11,7 @@ MAX_WINDOW_BUCKETS = 1_000_000
 
 @dataclass(frozen=True)
 class FleetSpec:
-    """The defaults are the values the reference results were produced with."""
+    """The defaults: five-minute buckets over eight days, one day as season."""
 
     grid_s: int = 300
     n_buckets: int = 2304
