@@ -67,17 +67,18 @@ def settle(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     return back.select(*df.columns)
 
 
-def is_small(df: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> bool:
+def is_small(df: DataFrame, rows_per_task: int | None = None) -> bool:
     """Whether the whole table fits one task; computes and keeps it on the way.
 
     The answer can be passed as ``small`` to the functions below for this table and
     any part of it, which saves them their own count.
     """
-    return keep(df).count() <= rows_per_task
+    return keep(df).count() <= (rows_per_task or ROWS_PER_TASK)
 
 
-def _split_points(df: DataFrame, col: str, rows_per_task: int) -> list[float]:
+def _split_points(df: DataFrame, col: str, rows_per_task: int | None) -> list[float]:
     """Inner edges of value ranges with about ``rows_per_task`` rows; none for a small table."""
+    rows_per_task = rows_per_task or ROWS_PER_TASK
     n = df.count()
     if n <= rows_per_task:
         return []
@@ -104,7 +105,7 @@ def _bin_offsets(binned: DataFrame, keys: list[str], weight: Column) -> DataFram
 
 def value_ranks(
     df: DataFrame, keys: list[str], col: str, sums: dict[str, Column] | None = None,
-    rows_per_task: int = ROWS_PER_TASK, small: bool | None = None,
+    rows_per_task: int | None = None, small: bool | None = None,
 ) -> DataFrame:
     """One row per (keys, distinct value) with its place among the rows of the key.
 
@@ -150,7 +151,7 @@ def _on(left: DataFrame, keys: list[str]) -> Column:
 
 def quantiles(
     df: DataFrame, keys: list[str], col: str, probs: dict[str, float],
-    rows_per_task: int = ROWS_PER_TASK, small: bool | None = None,
+    rows_per_task: int | None = None, small: bool | None = None,
 ) -> DataFrame:
     """Exact linearly interpolated percentiles per key, plus ``n`` (non-NULL rows).
 
@@ -212,7 +213,7 @@ def medians(df: DataFrame, keys: list[str], cols: list[str], small: bool | None
 
 
 def numbered(
-    df: DataFrame, order: list[Column], out: str = "rn", rows_per_task: int = ROWS_PER_TASK,
+    df: DataFrame, order: list[Column], out: str = "rn", rows_per_task: int | None = None,
 ) -> DataFrame:
     """1-based position of every row in a total order over the whole table.
 
@@ -220,6 +221,7 @@ def numbered(
     in its partition plus the rows of the earlier partitions (one count each).
     """
     df = keep(df)
+    rows_per_task = rows_per_task or ROWS_PER_TASK
     n = df.count()
     if n <= rows_per_task:
         return df.withColumn(out, F.row_number().over(Window.orderBy(*order)).cast("long"))
