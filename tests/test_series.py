@@ -119,6 +119,13 @@ def test_ecdf_is_exact_at_every_point(spark):
         assert got[x] == sum(v <= x for v in seen) / len(seen)
 
 
+def test_ecdf_and_describe_agree_on_the_median(spark):
+    g = grid_table(spark, {"a": AR, "b": AR[::-1]})
+    p50 = D.describe(g).first().p50
+    below, above = [r.share for r in D.ecdf(g, [p50 - 1e-6, p50 + 1e-6]).orderBy("x").collect()]
+    assert below <= 0.5 <= above
+
+
 def test_ecdf_grid_shows_the_jump_at_the_ceiling():
     xs = D.ecdf_grid()
     assert xs[0] == 0.0 and xs[-1] == 100.0 and 100.0 - 1e-9 in xs and len(xs) > 2800

@@ -13,6 +13,7 @@ MAX_WINDOW_BUCKETS = 1_000_000
 class FleetSpec:
     """The defaults: five-minute buckets over eight days, one day as season."""
 
+    # Results are only comparable when these defaults stay as they are.
     grid_s: int = 300
     n_buckets: int = 2304
     clip: tuple[float, float] = (0.0, 100.0)
