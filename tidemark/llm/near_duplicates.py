@@ -6,8 +6,7 @@ similarity of the sets. Bands of registers propose pairs; the likelihood of the
 estimates the similarity; links are confirmed on the full shingle sets.
 
 A bucket of sets that agree in a band may be huge, so its pairs are not listed. In a round each set is compared with
-one leader of its buckets that is not known to be connected to it, chosen by estimate. Rounds repeat while they find
-links. What then remains are buckets over more than one component: all their pairs across components are estimated
+one leader of its buckets that is not known to be connected to it, chosen by estimate. After a few rounds, what remains are buckets over more than one component: all their pairs across components are estimated
 in blocks, and those that may be similar are confirmed. So every pair that shares a bucket is connected,
 confirmed or estimated to be far below the limit.
 """
@@ -31,6 +30,8 @@ RATIO, OFFSET = 1.1, 32.0
 MARGIN = 0.18
 #: Sets of one leader that a task confirms together, and sets of a bucket that are compared as a block.
 GROUP, BLOCK_SETS = 256, 1024
+#: Rounds of comparing with leaders. They only shorten the exact comparison across components that follows.
+ROUNDS = 3
 #: Rows of an assignment table that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -119,12 +120,36 @@ def set_table(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, set_key long, sketch binary")
 
 
+def _forest(links: DataFrame) -> DataFrame:
+    """Links (a, b) with the same components: in each partition, every node to the smallest that it reaches there."""
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        above: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := above.setdefault(x, x)) != x:
+                above[x] = x = above[up]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = root(a), root(b)
+                above[max(a, b)] = min(a, b)
+        nodes = [x for x, up in above.items() if up != x]
+        yield pa.RecordBatch.from_arrays([pa.array([root(x) for x in nodes], pa.int64()), pa.array(nodes, pa.int64())], names=["a", "b"])
+
+    return links.select("a", "b").mapInArrow(run, "a long, b long")
+
+
 def connected(links: DataFrame) -> DataFrame:
     """Components of links (a, b): (node, label), the label being the smallest node of the component.
 
-    Labels spread to neighbours and then jump to the label of their label, until none changes.
+    Links are first contracted within partitions. Then labels spread to neighbours and jump to the label of their
+    label, until none changes.
     """
-    edges = settle(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    links = settle(_forest(links))
+    edges = settle(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = settle(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
         near = (edges.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node"))
@@ -137,6 +162,15 @@ def connected(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (node, label) of all nodes after new links: only links between different labels are followed."""
+    side = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
+    across = (links.join(side("a"), "a").join(side("b"), "b").where("label_a != label_b")
+              .select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct())
+    roots = connected(across).select(F.col("node").alias("label"), F.col("label").alias("root"))
+    return settle(labels.join(roots, "label", "left").select("node", F.coalesce("root", "label").alias("label")))
+
+
 def _estimated(pairs: DataFrame, sets: DataFrame, limit: float) -> DataFrame:
     """Pairs (a, b) whose sizes allow the limit and whose estimate is not far below it, with the estimate."""
     def run(batches: Iterator) -> Iterator:
@@ -219,6 +253,14 @@ def _across(rows: DataFrame, sets: DataFrame, limit: float) -> DataFrame:
     return dealt.groupBy("bucket", "low", "high").applyInArrow(run, "a long, b long").distinct()
 
 
+def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the buckets that span several components, with their label and the bucket's first and last by label."""
+    own = members.join(labels.withColumnRenamed("node", "set_key"), "set_key").select("bucket", "band", "set_key", "label")
+    end = F.struct("label", "set_key")
+    mixed = own.groupBy("bucket").agg(F.min(end).alias("first"), F.max(end).alias("last")).where("first.label != last.label")
+    return settle(own.join(mixed, "bucket"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id and kept.
 
@@ -240,13 +282,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     members = settle(banded.join(shared.select("bucket"), "bucket"))
     texts = _texts(docs, settle(members.select("set_key").distinct().join(sets.select("set_key", "rep_id"), "set_key")), width)
 
-    labels = members.sparkSession.createDataFrame([], "node long, label long")
-    links = tried = members.sparkSession.createDataFrame([], "a long, b long")
-    while True:
-        own = members.join(labels, F.col("set_key") == F.col("node"), "left").select(
-            "bucket", "band", "set_key", F.coalesce("label", "set_key").alias("label"))
-        mixed = own.groupBy("bucket").agg(F.min(F.struct("label", "set_key")).alias("first"), F.max(F.struct("label", "set_key")).alias("last"))
-        own = settle(own.join(mixed.where("first.label != last.label"), "bucket"))
+    labels = settle(members.select(F.col("set_key").alias("node"), F.col("set_key").alias("label")).distinct())
+    tried = members.sparkSession.createDataFrame([], "a long, b long")
+    for _ in range(ROUNDS):
+        own = _open_buckets(members, labels)
         ends = F.explode(F.array("first", "last")).alias("end")
         offered = (own.select("set_key", "label", ends).where("label != end.label")
                    .select(F.col("end.set_key").alias("a"), F.col("set_key").alias("b")).distinct()
@@ -254,16 +293,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         best = (_estimated(offered, sets, limit).groupBy("b")
                 .agg(F.max_by("a", F.struct("similarity", "a")).alias("a")).select("a", "b"))
         found = settle(_confirmed(settle(best), texts, width, percent))
-        new = found.where("linked").select("a", "b")
+        new = found.where("linked")
         if new.isEmpty():
             break
         tried = settle(tried.unionByName(found.select("a", "b")))
-        links = settle(links.unionByName(new))
-        labels = connected(links)
-    rest = settle(_across(own.select("bucket", "band", "set_key", "label"), sets, limit))
-    new = settle(_confirmed(rest, texts, width, percent)).where("linked").select("a", "b")
-    if not new.isEmpty():
-        labels = connected(links.unionByName(new))
+        labels = _merged(labels, new)
+    rest = settle(_across(_open_buckets(members, labels).select("bucket", "band", "set_key", "label"), sets, limit))
+    labels = _merged(labels, settle(_confirmed(rest, texts, width, percent)).where("linked"))
     labelled = rows.join(labels, F.col("set_key") == F.col("node"), "left").select(
         "doc_id", "n_shingles", F.coalesce("label", "set_key").alias("label"))
     smallest = labelled.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("smallest"))
