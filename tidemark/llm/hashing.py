@@ -48,7 +48,7 @@ class ShingleSets:
 
         self.width = width
         self.values = byte_values()
-        self.up, self.down = powers(BASE, 2 * BLOCK), powers(UNDO, 2 * BLOCK)
+        self.up = self.down = powers(BASE, 0)  # as long as the longest block so far
         draw = random.Random(7)
         self.places = np.array([draw.getrandbits(64) | 1 for _ in range(width)], np.uint64)
 

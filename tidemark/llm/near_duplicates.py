@@ -189,12 +189,16 @@ def _estimated(pairs: DataFrame, sets: DataFrame, limit: float) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs (a, b) with whether their full sets have the similarity. A set ``a`` goes to the task once per GROUP of partners."""
+    tools: dict[str, ShingleSets] = {}  # made once in a task
+
     def run(key, table):
         import numpy as np
         import pyarrow as pa
 
+        if not tools:
+            tools["sets"] = ShingleSets(width)
         cols = table.to_pydict()
-        sets = list(ShingleSets(width).of(cols["text"]))
+        sets = list(tools["sets"].of(cols["text"]))
         lead = next(s for s, x in zip(sets, cols["is_a"], strict=True) if x)
         b, linked = [], []
         for s, x, k in zip(sets, cols["is_a"], cols["set_key"], strict=True):
@@ -239,7 +243,7 @@ def _across(rows: DataFrame, sets: DataFrame, limit: float) -> DataFrame:
             if len(j):
                 a = np.broadcast_to(regs[i], (len(j), REGISTERS))
                 j = j[estimate(a, regs[j], np.full(len(j), float(size[i])), size[j].astype(float)) >= limit - MARGIN]
-                same = (regs[j] == regs[i]).reshape(len(j), -1, BAND).all(2)
+                same = (regs[j] == regs[i]).reshape(len(j), REGISTERS // BAND, BAND).all(2)
                 j = j[same.argmax(1) == band[i]]
                 out_a += np.minimum(key_[j], key_[i]).tolist()
                 out_b += np.maximum(key_[j], key_[i]).tolist()
