@@ -8,16 +8,17 @@ where the text position is sampled.
 
 from __future__ import annotations
 
-#: Characters of 9 bits in one comparison key.
+import numpy as np
+
+#: Characters of 9 bits in one comparison key, and the least keys whose first character from the right is not 0, and so on.
 KEY = 7
+GROUPS = np.array([1 << 9 * k for k in range(KEY)])
 
 
 class RunLengthIndex:
     """Index of a list of byte strings; matches do not run from one string into the next."""
 
     def __init__(self, strings: list[bytes]):
-        import numpy as np
-
         text = np.ones(sum(map(len, strings)) + len(strings) + 1, np.int64)  # 1 ends a string, 0 is past the end
         lengths = np.fromiter(map(len, strings), np.int64, len(strings))
         ends = np.cumsum(lengths + 1)
@@ -48,8 +49,6 @@ class RunLengthIndex:
     @staticmethod
     def _sorted_suffixes(key):
         """Suffix array by doubling, starting from the rank of each suffix's first KEY characters."""
-        import numpy as np
-
         rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
         n, step = len(rank), KEY
         while rank.max() < n - 1:
@@ -63,17 +62,12 @@ class RunLengthIndex:
 
     def _common(self, a, b):
         """Length of the common start of text suffixes a and b, up to 8 * KEY."""
-        import numpy as np
-
         length = np.zeros(len(a), np.int64)
         live = np.arange(len(a))
         for step in range(8):
             x = self.key[a[live] + KEY * step] ^ self.key[b[live] + KEY * step]
-            length[live[x == 0]] += KEY
-            part, x = live[x != 0], x[x != 0]
-            for k in range(1, KEY):
-                length[part] += (x >> (9 * (KEY - k))) == 0
-            live = live[length[live] == KEY * (step + 1)]
+            length[live] += KEY - np.searchsorted(GROUPS, x, "right")  # characters before the highest that differs
+            live = live[x == 0]
             if not len(live):
                 break
         return length
@@ -83,8 +77,6 @@ class RunLengthIndex:
 
         ``least`` is at most 8 * KEY, a query has at most 63 such starts.
         """
-        import numpy as np
-
         lengths = np.fromiter(map(len, queries), np.int64, len(queries))
         order = np.argsort(-lengths, kind="stable")
         raw = np.frombuffer(b"".join(queries), np.uint8).astype(np.int64) + 2
@@ -108,16 +100,18 @@ class RunLengthIndex:
                 to_row, to_place = np.zeros(len(jump), np.int64), np.full(len(jump), self.start_sample[0] + 1)
                 to_run = np.zeros(len(jump), np.int64)
                 for which, rows, samples in ((at - 1, self.run_stop, self.end_sample), (at, self.run_start, self.start_sample)):
-                    safe = np.clip(which, 0, self.runs - 1)
-                    other = self.by_char[safe]
-                    there = np.flatnonzero((which >= 0) & (which < self.runs) & (self.head[other] == cj))
-                    other = other[there]
-                    shared = np.minimum(self._common(place[jump[there]], samples[other]), match[jump[there]])
+                    there = np.flatnonzero((which >= 0) & (which < self.runs) & (best < match[jump]))
+                    other = self.by_char[which[there]]
+                    same = self.head[other] == cj[there]
+                    there, other = there[same], other[same]
+                    shared = match[jump[there]]
+                    open_ = np.flatnonzero(shared)
+                    shared[open_] = np.minimum(shared[open_], self._common(place[jump[there[open_]]], samples[other[open_]]))
                     better = shared > best[there]
                     there, other, shared = there[better], other[better], shared[better]
                     best[there], to_run[there] = shared, other
                     to_row[there], to_place[there] = rows[other], samples[other]
-                r, run = r.copy(), run
+                r = r.copy()
                 r[jump], run[jump] = to_row, to_run
                 p[jump], m[jump] = to_place - 1, best + 1
             row[:live] = np.where(m > 0, self.target[run] + r - self.run_start[run], 0)

@@ -31,7 +31,7 @@ BLOCK, CHUNK = 1 << 18, 8 << 20
 #: Windows in a segment.
 SEGMENT = 40
 #: Bytes of segments that are indexed together, and rounds of indexing; what is open then is grouped window by window.
-INDEXED, ROUNDS = 1 << 21, 6
+INDEXED, ROUNDS = 1 << 21, 4
 
 
 class Windows:
