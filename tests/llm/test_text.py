@@ -1,0 +1,191 @@
+"""Operators on single texts: language, licences, secrets, tokens."""
+
+import re
+import zlib
+from collections import Counter
+
+import pytest
+
+from tests.llm import plain
+from tidemark.llm import language, licenses, secrets, token_counts
+from tidemark.llm import queries as q
+
+pieces = q.vocabulary("piece_bpe_32k.model")
+
+
+def _all_segmentations(own, word):
+    """Probability of a word as the sum over all ways to cut it, by recursion."""
+    if not word:
+        return 1.0
+    total = language.FLOOR * _all_segmentations(own, word[1:])
+    return total + sum(own[word[:k]] * _all_segmentations(own, word[k:]) for k in range(1, len(word) + 1) if word[:k] in own)
+
+
+def test_forward_sums_all_segmentations():
+    import numpy as np
+    import sentencepiece
+
+    vocabulary = language.Pieces(pieces)
+    prob = np.random.default_rng(2).dirichlet(np.ones(vocabulary.n), 2).T
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces)
+    names = sorted({p for i in range(model.get_piece_size())
+                    if (p := model.id_to_piece(i).lower()).removeprefix(language.START).isalpha() and len(p) <= 17})
+    for words in (["the", "was", "éqx"], ["within", "ñandúe"]):
+        got, _ = language.forward(vocabulary, words, prob)
+        for i, w in enumerate(words):
+            for k in range(2):
+                own = {n: prob[j, k] for j, n in enumerate(names)}
+                assert got[i, k] == pytest.approx(np.log(_all_segmentations(own, language.START + w)), rel=1e-9)
+
+
+def test_expected_counts_are_posterior_uses():
+    import numpy as np
+
+    vocabulary = language.Pieces(pieces)
+    prob = np.random.default_rng(3).dirichlet(np.ones(vocabulary.n))
+    words, weights = ["house", "tones"], np.array([3.0, 1.0])
+    got = language.expected_counts(vocabulary, words, weights, prob)
+    up = prob.copy()
+    for j in np.flatnonzero(got)[:12]:  # uses of a piece = derivative of the log probability by its log
+        up[j] = prob[j] * (1 + 1e-5)
+        change = (language.forward(vocabulary, words, up[:, None])[0] - language.forward(vocabulary, words, prob[:, None])[0])[:, 0] @ weights
+        up[j] = prob[j]
+        assert got[j] == pytest.approx(change / 1e-5, rel=1e-3)
+
+
+def test_languages_of_held_out_texts(spark):
+    words = {"en": "the and with for that this have from they would there their what about", "de": "der die und nicht mit sich auch "
+             "werden eine durch gegen zwischen können", "fr": "les des une pour dans qui avec sur être plus été même après"}
+    rows = []
+    for lang, ws in words.items():
+        for i in range(40):
+            rows.append((len(rows), " ".join(ws.split()[(i * k) % len(ws.split())] for k in range(1, 12)), lang))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(df.where("doc_id % 3 != 0"), pieces)
+    assert model[0] == ["de", "en", "fr"]
+    got = {r.doc_id: r for r in language.predict_language(df, model, pieces).collect()}
+    assert all(got[i].lang_pred == lang and 0.5 < got[i].score <= 1 for i, _, lang in rows if i % 3 == 0)
+
+
+def test_language_of_odd_rows(spark):
+    df = plain.odd(spark)
+    model = language.fit(df, pieces)
+    rows = language.predict_language(df, model, pieces).collect()
+    assert len(rows) == len(plain.odd_rows())
+    unknown = {r.doc_id for r in rows if r.lang_pred == "und"}
+    assert unknown == {3, 4, 5, 11, None} and all(r.score == 0 for r in rows if r.lang_pred == "und")
+    kept = language.keep_identified(df, model, pieces, 0.0)
+    assert kept.schema == df.schema and kept.count() == len(plain.odd_rows()) - 5
+    nothing = language.fit(plain.empty(spark), pieces)
+    assert {r.lang_pred for r in language.predict_language(df, nothing, pieces).collect()} == {"und"}
+    assert language.predict_language(plain.empty(spark), model, pieces).count() == 0
+    assert language.keep_identified(plain.empty(spark), model, pieces).count() == 0
+
+
+def test_long_words_count_wholly():
+    got = language.words_in("Aa aA " + "b" * 60 + " x²y _ 12")
+    assert got == Counter({"aa": 2, "b" * 24: 2, "b" * 12: 1, "xy": 1})
+
+
+def test_held_out_is_by_checksum(spark, tmp_path):
+    rows = [(i, "the house and the tree", "en") for i in range(20)] + [(None, "the house", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = q.op6_language_id(spark, str(tmp_path)).collect()
+    assert all(r.held_out == (r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got) and len(got) == 21
+
+
+def test_license_places_agree_with_search(spark, tmp_path):
+    import random
+
+    draw = random.Random(4)
+    bag = ["mit", "MIT", "license", "License", "apache", "general", "public", "the", "Ünder", "x9"]
+    texts = [draw.choice([" ", "-", ".\n"]).join(draw.choice(bag) for _ in range(draw.randrange(0, 60))) for _ in range(80)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "mit license"), (5, None), (6, plain.LONG + " GENERAL public-license")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = q.op5_license_scan(spark, str(tmp_path)).collect()
+    want = []
+    for d, t in rows:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(plain.UP))
+        hits = [(i, p.label) for p in licenses.BASE for k in [p.text.split()] for i in range(len(w)) if w[i:i + len(k)] == k]
+        starts = [i for i, _ in hits]
+        want.append((d, len(w), len(hits), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in hits}))))
+    assert sorted([(r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got], key=str) == sorted(want, key=str)
+    assert sum(w[2] for w in want) > 50 and all(0 <= r.score <= 1 for r in got)
+
+
+def test_notices_need_their_phrases(spark):
+    notice = next(t for t in licenses.NOTICES if t.label == "mit-text").text
+    w = notice.split()
+    rows = [(1, "# " + notice.upper()), (2, " ".join(w[:20] + ["really"] + w[20:])), (3, " ".join(reversed(w))), (4, notice.replace("granted", "denied"))]
+    got = {r.doc_id: {h.label: h.score for h in r.license_hits} for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == {"mit-text": 1.0} and got[3] == {} and got[4] == {}
+    assert licenses.scan_licenses(plain.empty(spark)).count() == 0
+
+
+def test_trigram_queries():
+    tri = secrets._trigrams
+    assert secrets.trigram_query("AKIA[A-Z0-9]+") == [[tri("akia")]]
+    assert secrets.trigram_query("[0-9a-f]+") == [] and secrets.trigram_query("ab|abcd") == []
+    assert sorted(map(sorted, secrets.trigram_query("(?i)(secret|api_?key)x*")[0])) == sorted(map(sorted, [tri("secret"), tri("api_key"), tri("apikey")]))
+    assert secrets.trigram_query("abc.+xyz") == [[tri("abc")], [tri("xyz")]]
+
+
+def test_candidates_lose_no_match(spark):
+    import random
+
+    draw = random.Random(6)
+    parts = ["pass", "word", "wd", "PASSWORD", "token", "Secret", "api_key", "apikey", "=", ":", ' = "', "'", "akia", "AKIA", "ABCDEFGH12345678",
+             "deadbeef" * 4, "-----BEGIN RSA PRIVATE KEY-----", "ghp_" + "a1" * 18, " ", "\n", "é"]
+    rows = [(i, "".join(draw.choice(parts) for _ in range(draw.randrange(1, 25)))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.kind, s.end) for s in r.secret_spans] for r in secrets.scan_secrets(df).collect()}
+    assert got == {i: secrets.find_spans(t, secrets.RULES) for i, t in rows}
+    assert {s[1] for v in got.values() for s in v} >= {"assign", "access", "hex", "private_key"}
+
+
+def test_base_spans_are_leftmost_and_not_overlapping():
+    text = "token=abc secret: 'abcdefgh' TOKEN=token=abcdefgh é AKIA12 " + "f" * 31 + " " + "0" * 32
+    want = [(m.start(), "assign", m.end()) for m in re.finditer(
+        r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[2]) >= 8]
+    base = [s for s in secrets.find_spans(text, secrets.RULES)]
+    assert base == [*want, (len(text) - 32, "hex", len(text))]
+    assert secrets.find_spans("paſſword=abcdefgh toKen=abcdefgh", secrets.RULES) == []
+
+
+def test_secrets_of_odd_rows(spark):
+    df = plain.odd(spark)
+    rows = secrets.scan_secrets(df).collect()
+    assert sorted(map(str, ((r.doc_id, [tuple(s) for s in r.secret_spans]) for r in rows))) == sorted(
+        map(str, ((r[0], secrets.find_spans(r[1] or "", secrets.RULES)) for r in plain.odd_rows())))
+    masked = secrets.redact(df)
+    assert masked.schema.names == df.schema.names
+    for r in masked.collect():
+        assert "hunter2" not in (r.text or "") and r.n_chars == (None if r.text is None else len(r.text))
+    assert secrets.scan_secrets(plain.empty(spark)).count() == secrets.redact(plain.empty(spark)).count() == 0
+
+
+def test_token_counts_are_those_of_the_library(spark, monkeypatch):
+    import random
+
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_counts, "BLOCK", 500)
+    monkeypatch.setattr(token_counts, "DICTIONARY", 300)
+    path = q.vocabulary("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    draw = random.Random(8)
+    odd = "aé 中😀\t\n\r\x0b\x0c\x1c\x85  ​'sS'lL0½²٣_-<|endoftext|>́ß"
+    texts = ["".join(draw.choice(odd) for _ in range(draw.randrange(0, 80))) for _ in range(400)]
+    texts += ["<|endoftext|>", "a<|endoftext|> b<|endoftext|>", "<|endoftext|", " " * 3000, "x" * 20000, plain.LONG, "don't we'll I'D", None, ""]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, n_bytes string")
+    for r in token_counts.token_counts(df, path).collect():
+        t = texts[r.doc_id] or ""
+        n = len(library.encode(t, add_special_tokens=False).ids)
+        assert (r.n_tokens, r.n_bytes, r.over_limit) == (n, len(t.encode()), n > 512), repr(t[:80])
+
+
+def test_token_counts_of_odd_rows(spark):
+    path = q.vocabulary("byte_bpe_50k.json")
+    rows = token_counts.token_counts(plain.odd(spark), path).collect()
+    assert len(rows) == len(plain.odd_rows()) and {r.n_tokens for r in rows if r.doc_id in (3, 4)} == {0}
+    assert token_counts.token_counts(plain.empty(spark), path).count() == 0
