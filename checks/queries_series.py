@@ -147,13 +147,13 @@ def proportional_row_sample(spark, sf):
 
 _GROUPS = ("ordr AS (SELECT series_id AS member, row_number() OVER (ORDER BY md5('42|' || series_id), series_id) AS rn,"
            " count(*) OVER () AS n_all FROM ids), "
-           "grp AS (SELECT CASE WHEN rn <= 40 THEN 'Cs' WHEN (rn - 41) // 5 < (n_all - 40) // 5 THEN 'Cg' ELSE 'rest' END AS env,"
-           " CASE WHEN rn <= 40 THEN member WHEN (rn - 41) // 5 < (n_all - 40) // 5"
-           " THEN 'Cg_' || lpad(CAST((rn - 41) // 5 AS VARCHAR), 2, '0') ELSE '' END AS series_id, member FROM ordr)")
+           "grp AS (SELECT CASE WHEN rn <= n_all // 2 THEN 'Cs' WHEN (rn - n_all // 2 - 1) // 5 < (n_all - n_all // 2) // 5 THEN 'Cg' ELSE 'rest' END AS env,"
+           " CASE WHEN rn <= n_all // 2 THEN member WHEN (rn - n_all // 2 - 1) // 5 < (n_all - n_all // 2) // 5"
+           " THEN printf('Cg_%02d', (rn - n_all // 2 - 1) // 5) ELSE '' END AS series_id, member FROM ordr)")
 
 
 def _groups(spark, sf):
-    return R.halves_and_groups(grid(spark, sf, "C").select("series_id").distinct(), "series_id", 40, 5, "Cs", "Cg")
+    return R.halves_and_groups(grid(spark, sf, "C").select("series_id").distinct(), "series_id", None, 5, "Cs", "Cg")
 
 
 @query(S.q([*S.base(("C",)), _GROUPS], "SELECT env, series_id, member FROM grp"))

@@ -75,9 +75,8 @@ def test_other_models_beat_the_mean(spark, matrix, name, params):
 
 
 def test_registry_names_and_grids():
-    assert list(L.REGISTRY) == ["lr", "ridge", "rf", "gbt", "rbf"]
-    assert [c["alpha"] for c in L.REGISTRY["ridge"].grid] == [0.01, 0.1, 1.0, 10.0, 100.0]
-    assert L.REGISTRY["ridge"].params_json(2) == '{"alpha": 1.0}'
+    assert list(L.BUILDERS) == ["lr", "ridge", "rf", "gbt", "rbf"]
+    assert [c["alpha"] for c in L.CANDIDATES["ridge"]] == [0.01, 0.1, 1.0, 10.0, 100.0]
     with pytest.raises(ValueError, match="svm"):
         L.fit("svm", {}, [], None)
 

@@ -130,6 +130,20 @@ def test_halves_and_groups(spark):
     assert {r.series_id for r in g if r.env == "G"} == {"G_00", "G_01"}
 
 
+def test_more_than_a_hundred_groups_keep_their_own_numbers(spark):
+    ids = spark.createDataFrame([(f"v{i}",) for i in range(760)], "series_id string")
+    g = R.halves_and_groups(ids, "series_id", 10, 5, "S", "G").where("env = 'G'").groupBy("series_id").count().collect()
+    assert {r.series_id for r in g} == {f"G_{i:02d}" for i in range(150)} and {r["count"] for r in g} == {5}
+
+
+def test_half_of_the_ids_and_no_repeated_ids(spark):
+    ids = spark.createDataFrame([(f"v{i}",) for i in range(23)], "series_id string")
+    g = R.halves_and_groups(ids, "series_id", None, 5, "S", "G").collect()
+    assert sum(r.env == "S" for r in g) == 11
+    with pytest.raises(ValueError, match="not unique"):
+        R.halves_and_groups(ids.unionByName(ids.limit(1)), "series_id", 10, 5, "S", "G")
+
+
 def test_strict_group_mean(spark):
     from helpers import grid_table
 

@@ -199,8 +199,6 @@ def test_scorecard_rules(spark):
     got = by_key(C.evaluate(rules, items), "rule", "holds")
     assert got == {"both_low": False, "a_low": True, "unknown": None, "at_least": True}
     assert by_key(C.evaluate(rules, items, missing=0.0), "rule", "holds")["unknown"] is False
-    assert C.reproduction_reading(12, 0) == "reproduced"
-    assert C.reproduction_reading(12, 1) == "inconclusive" and C.reproduction_reading(3, 0) == "not_reproduced"
 
 
 def test_run_comparison_shows_rows_of_one_side(spark):

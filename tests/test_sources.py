@@ -72,6 +72,8 @@ def test_fingerprint(spark, tmp_path):
     assert sorted(got) == ["md5_differs", "missing", "ok", "ok"]
     big = L.fingerprint(spark, str(tmp_path), md5_up_to=40)
     assert big.where("md5 is null").count() >= 1
+    got = {r.check.rsplit("/", 1)[-1]: r.status for r in L.compare_fingerprint(big, folders, samples).collect()}
+    assert got["2.csv"] == "not_hashed"
 
 
 def test_upsert_replaces_keys_and_appends(spark, tmp_path):

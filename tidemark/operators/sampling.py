@@ -88,13 +88,17 @@ def proportional_rows(df: DataFrame, stratum: str, ids: list[str], n: int,
     return _draw(df, stratum, ids, quotas, seed)
 
 
-def halves_and_groups(ids: DataFrame, id_col: str, n_single: int, group_size: int,
+def halves_and_groups(ids: DataFrame, id_col: str, n_single: int | None, group_size: int,
                       single_env: str, group_env: str, seed: int = SEED) -> DataFrame:
     """Shuffle ids; the first ``n_single`` stay single, the next form groups, the rest is left out.
 
-    Output ``env, series_id, member``; ``env`` is ``rest`` for members of no group.
+    Output ``env, series_id, member``; ``env`` is ``rest`` for members of no group. Group numbers have two digits at
+    least and as many as they need. Ids must be unique. ``n_single`` None means half of the ids.
     """
-    n = ids.count()
+    n, distinct = ids.agg(F.count(F.lit(1)), F.count_distinct(id_col)).first()
+    if distinct < n:
+        raise ValueError(f"{id_col} is not unique: {n} rows, {distinct} ids")
+    n_single = n // 2 if n_single is None else n_single
     n_groups = max(0, n - n_single) // group_size
     order = numbered(ids.select(F.col(id_col).alias("member")).withColumn("_key", draw_key("member", seed=seed)),
                      [F.col("_key"), F.col("member")], "_rn")
@@ -103,7 +107,7 @@ def halves_and_groups(ids: DataFrame, id_col: str, n_single: int, group_size: in
     return order.select(
         F.when(single, single_env).when(g < n_groups, group_env).otherwise("rest").alias("env"),
         F.when(single, F.col("member"))
-        .when(g < n_groups, F.concat(F.lit(f"{group_env}_"), F.lpad(g.cast("string"), 2, "0")))
+        .when(g < n_groups, F.concat(F.lit(f"{group_env}_"), F.format_string("%02d", g)))
         .otherwise("").alias("series_id"),
         "member")
 

@@ -43,13 +43,6 @@ def evaluate(rule_table: DataFrame, items: DataFrame, missing: float | None = No
         F.min("_v").alias("lowest"), F.max("_v").alias("highest"), F.count("_v").alias("n_items"))
 
 
-def reproduction_reading(n_reverse: int, n_forward: int, need: int = 10, few: int = 3) -> str:
-    """Reading rule for a repeated direction effect."""
-    if n_reverse >= need and n_forward == 0:
-        return "reproduced"
-    return "not_reproduced" if n_reverse <= few else "inconclusive"
-
-
 def differenced_vs_naive(diagonal: DataFrame, naive: DataFrame) -> DataFrame:
     """Median over models of the N2 per-series median MAE, over the naive median."""
     from tidemark.functions.ordered import quantiles

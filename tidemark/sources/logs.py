@@ -116,16 +116,20 @@ def fingerprint(spark: SparkSession, path: str, md5_up_to: int = 64 << 20) -> Da
 
 
 def compare_fingerprint(files: DataFrame, folders: DataFrame, samples: DataFrame) -> DataFrame:
-    """Check folders (``folder, n_files, total_bytes``) and sample files (``folder, file, md5``)."""
+    """Check folders (``folder, n_files, total_bytes``) and sample files (``folder, file, md5``).
+
+    A file that is there but too large to have been hashed is ``not_hashed``.
+    """
     got = files.groupBy("folder").agg(
         F.count(F.lit(1)).alias("_n"), F.sum("bytes").alias("_b"))
     f = folders.join(got, "folder", "left").select(
         F.concat(F.lit("folder "), "folder").alias("check"),
         F.when(F.col("_n").isNull(), "missing").when(F.col("_n") != F.col("n_files"), "file_count_differs")
         .when(F.col("_b") != F.col("total_bytes"), "size_differs").otherwise("ok").alias("status"))
-    s = samples.join(files.select("folder", "file", F.col("md5").alias("_m")), ["folder", "file"], "left")
+    s = samples.join(files.select("folder", "file", F.col("bytes").alias("_n"), F.col("md5").alias("_m")), ["folder", "file"], "left")
     s = s.select(
         F.concat(F.lit("file "), "folder", F.lit("/"), "file").alias("check"),
-        F.when(F.col("_m").isNull(), "missing").when(F.col("_m") != F.col("md5"), "md5_differs")
+        F.when(F.col("_n").isNull(), "missing").when(F.col("_m").isNull(), "not_hashed")
+        .when(F.col("_m") != F.col("md5"), "md5_differs")
         .otherwise("ok").alias("status"))
     return f.unionByName(s)
