@@ -50,7 +50,7 @@ def test_expected_counts_are_posterior_uses():
         up[j] = prob[j] * (1 + 1e-5)
         change = (language.forward(vocabulary, words, up[:, None])[0] - language.forward(vocabulary, words, prob[:, None])[0])[:, 0] @ weights
         up[j] = prob[j]
-        assert got[j] == pytest.approx(change / 1e-5, rel=1e-3)
+        assert got[j] == pytest.approx(change / 1e-5, rel=1e-3, abs=1e-6)
 
 
 def test_languages_of_held_out_texts(spark):

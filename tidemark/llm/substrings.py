@@ -124,6 +124,14 @@ def unpack(data: bytes):
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def runs_of(values):
+    """(value, start, stop) of each run of equal values."""
+    import numpy as np
+
+    starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])[:len(values)])
+    return [(values[a], int(a), int(b)) for a, b in zip(starts, np.append(starts[1:], len(values)), strict=False)]
+
+
 class Chunk:
     """The documents of a chunk in ascending order of id, and what can be computed from them again at any time."""
 
@@ -168,9 +176,7 @@ class Chunk:
         """(route, start, stop) of each route's part of ascending codes."""
         import numpy as np
 
-        route = codes // np.uint64(self.space)
-        starts = np.flatnonzero(np.concatenate([[True], route[1:] != route[:-1]])) if len(route) else []
-        return [(int(route[a]), int(a), int(b)) for a, b in zip(starts, [*starts[1:], len(route)], strict=True)]
+        return [(int(r), a, b) for r, a, b in runs_of(codes // np.uint64(self.space))]
 
     def segments(self, bits: dict[int, bytes]):
         """Blocks of (first text, bytes, start, length, owner, hash, route) of segments of windows with shared anchors."""
@@ -282,9 +288,8 @@ def _send_segments(space, n_routes):
             inner = first - cuts[block]
             texts = [blocks[b][1][(s := int(blocks[b][2][i])):s + int(blocks[b][3][i])]
                      for b, i in zip(block.tolist(), inner.tolist(), strict=True)]
-            edges = np.flatnonzero(np.concatenate([[True], routes[1:] != routes[:-1]])) if len(routes) else []
-            for a, b in zip(edges, [*edges[1:], len(routes)], strict=True):
-                rows["route"].append(int(routes[a]))
+            for route, a, b in runs_of(routes):
+                rows["route"].append(int(route))
                 rows["chunk"].append(key[0].as_py())
                 rows["lengths"].append(np.array([len(t) for t in texts[a:b]], np.uint8).tobytes())
                 rows["docs"].append(zlib.compress(np.ascontiguousarray(chunk.ids[docs[a:b]].view(np.uint8).reshape(-1, 8).T).tobytes(), 1))
