@@ -144,7 +144,7 @@ def single_vs_grouped_transfer(spark, sf):
 
 @query()
 def forest_within(spark, sf):
-    return rounded(E.run_within(_within_matrix(spark, sf, "A", (1,)), SPECS["A"], {"rf": {"max_depth": 8, "n_trees": 10}}))
+    return rounded(E.run_within(_within_matrix(spark, sf, "A"), SPECS["A"], {"rf": {"max_depth": 8, "n_trees": 50}}))
 
 
 @query()

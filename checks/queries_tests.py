@@ -409,16 +409,16 @@ def verdict_scorecard(spark, sf):
 
 
 @query(S.q(_AGG, "SELECT env || '/' || CAST(h AS VARCHAR) || '/' || model AS item, CAST(2 AS INTEGER) AS digits, " + S.r("p50", "value")
-           + ", " + S.r("round(p50 * 100) / 100", "claim") + ", " + S.r("round(p50 * 100) / 100", "rounded")
-           + ", 'ok' AS status FROM agg WHERE metric = 'mae'"))
+           + ", " + S.r("round(p50 * 100) / 100 + CASE WHEN model = 'ma6' THEN 0.05 ELSE 0 END", "claim") + ", " + S.r("round(p50 * 100) / 100", "rounded")
+           + ", CASE WHEN model = 'ma6' THEN 'differs' ELSE 'ok' END AS status FROM agg WHERE metric = 'mae'"))
 def gate_claims(spark, sf):
-    """Published two-decimal medians against the recomputed ones."""
+    """Two-decimal claims against recomputed medians; every claim about one model is planted wrong by 0.05."""
     totals = M.series_totals(each(lambda e: grid(spark, sf, e)))
     per = keep(_all_baselines(spark, sf))
     agg = M.aggregate_metrics(per, ["env", "h", "model"], totals, metrics=("mae",))
     item = F.concat_ws("/", "env", F.col("h").cast("string"), "model").alias("item")
     med = M.quantiles(per, ["env", "h", "model"], "mae", {"m": 0.5})
-    claimed = med.select(item, F.round("m", 2).alias("claim"), F.lit(2).alias("digits"))
+    claimed = med.select(item, (F.round("m", 2) + F.when(F.col("model") == "ma6", 0.05).otherwise(0.0)).alias("claim"), F.lit(2).alias("digits"))
     return rounded(Q.claims(claimed, agg.select(item, F.col("p50").alias("value"))))
 
 
