@@ -8,7 +8,7 @@ import random
 BASE = 0x9E3779B97F4A7C15
 UNDO = pow(BASE, -1, 1 << 64)
 #: Bytes of text that are hashed together.
-BLOCK = 1_000_000
+BLOCK = 1 << 18
 
 
 def byte_values():

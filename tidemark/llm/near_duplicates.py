@@ -30,6 +30,8 @@ RATIO, OFFSET = 1.1, 32.0
 MARGIN = 0.18
 #: Sets of one leader that a task confirms together, and sets of a bucket that are compared as a block.
 GROUP, BLOCK_SETS = 256, 1024
+#: Rows whose texts a task unpacks together, and elements that it draws registers for together.
+ROWS, ELEMENTS = 1000, 60_000
 #: Rounds of comparing with leaders. They only shorten the exact comparison across components that follows.
 ROUNDS = 3
 #: Rows of an assignment table that are broadcast at most; more are joined by a shuffle.
@@ -98,24 +100,26 @@ def set_table(docs: DataFrame, width: int) -> DataFrame:
         import pyarrow as pa
 
         own = ShingleSets(width)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            sizes, keys, registers, part = [], [], [], []
-            for s in own.of(texts):
-                sizes.append(len(s))
-                keys.append(_signed(blake2b(s.tobytes(), digest_size=8).digest()) if len(s) else None)
-                if len(s):
-                    part.append(s)
-                if sum(map(len, part[-1:])) and (len(part) >= 64 or sum(map(len, part)) > 300_000):
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                sizes, keys, registers, part, elements = [], [], [], [], 0
+                for s in own.of([t or "" for t in batch.column(1).to_pylist()]):
+                    sizes.append(len(s))
+                    keys.append(_signed(blake2b(s.tobytes(), digest_size=8).digest()) if len(s) else None)
+                    if len(s):
+                        part.append(s)
+                        elements += len(s)
+                    if elements > ELEMENTS:
+                        registers.append(sketches(part))
+                        part, elements = [], 0
+                if part:
                     registers.append(sketches(part))
-                    part = []
-            if part:
-                registers.append(sketches(part))
-            rows = iter(np.concatenate(registers) if registers else ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()),
-                 pa.array([next(rows).tobytes() if n else None for n in sizes], pa.binary())],
-                names=["doc_id", "n_shingles", "set_key", "sketch"])
+                rows = iter(np.concatenate(registers) if registers else ())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()),
+                     pa.array([next(rows).tobytes() if n else None for n in sizes], pa.binary())],
+                    names=["doc_id", "n_shingles", "set_key", "sketch"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, set_key long, sketch binary")
 
