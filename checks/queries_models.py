@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from checks import sql as S
 from checks.fleets import each, grid, rounded
-from checks.queries_series import _groups
+from checks.queries_series import _ROWS, BURST, STRATA, _groups
 from checks.registry import query
 from tidemark.functions.ordered import keep
 from tidemark.operators import normalize as N
@@ -157,7 +157,13 @@ def kernel_within(spark, sf):
     return rounded(E.run_within(_within_matrix(spark, sf, "A", (1,)), SPECS["A"], {"rbf": {"C": 1.0}}))
 
 
-@query()
+_CAPPED = _ROWS.replace("m.series_id, m.off, stratum", "m.series_id, m.off, m.target, stratum").replace("1000", "2000")
+
+
+@query(S.q([*S.base(("C",)), *S.frame(hs=(1,)), BURST, STRATA, _CAPPED],
+           "SELECT stratum, count(*) AS n_rows, " + S.r("avg(target)", "target_mean") + " FROM (SELECT t.*, quota, row_number() OVER"
+           " (PARTITION BY t.stratum ORDER BY md5('42|' || series_id || '|' || CAST(off AS VARCHAR)), series_id, off) AS k"
+           " FROM tagged t JOIN quota USING (stratum)) WHERE k <= quota GROUP BY stratum"))
 def capped_training_rows(spark, sf):
     """Training rows of a capped model: proportional over the CV strata, the same for every run."""
     strata = assign_strata(burstiness(grid(spark, sf, "C")))
