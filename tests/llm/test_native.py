@@ -78,6 +78,20 @@ def test_decontamination_of_odd_rows(spark):
     assert decontaminate.decontaminate(plain.odd(spark), items.where("false")).count() == len(plain.odd_rows())
 
 
+def test_leaks_are_judged_row_by_row(spark):
+    one, two, three = plain.sentences(9, 3, 20)
+    half = one.split()
+    docs = [(None, one, 0), (None, three, 1), (None, None, 2), (5, "x " + two, 3), (5, three, 4), (6, " ".join(half[:12]), 5),
+            (6, " ".join(half[8:]), 6), (7, two + " " + one, 7)]
+    for ids in ((1, 1), (None, None), (1, 2)):
+        items = spark.createDataFrame(list(zip(ids, (one, two), strict=True)), ITEMS)
+        left = decontaminate.without_leaks(spark.createDataFrame(docs, "doc_id long, text string, row_key long").repartition(3), items)
+        assert left.columns == ["doc_id", "text", "row_key"]
+        assert sorted(r.row_key for r in left.collect()) == [1, 2, 4, 5, 6]
+    empty = decontaminate.without_leaks(plain.empty(spark), items)
+    assert empty.columns == plain.odd(spark).columns and empty.count() == 0
+
+
 def test_fingerprints_of_equal_and_odd_texts(spark):
     rows = fingerprints.fingerprints(plain.odd(spark)).collect()
     by = {}

@@ -51,6 +51,17 @@ def test_odd_rows_and_an_empty_table(spark):
     assert {1, 2, 12}.isdisjoint(r.doc_id for r in kept.collect())
 
 
+def test_one_row_of_a_component_stays_whatever_the_ids(spark):
+    a, b, c, d = plain.sentences(6, 4, 60)
+    rows = [(7, a, 0), (7, a, 1), (None, a, 2), (None, a + " more", 3), (3, a, 4), (None, b, 5), (None, b, 6), (8, c, 7), (8, d, 8),
+            (None, "", 9), (None, None, 10), (9, c, 11), (8, c, 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_key long").repartition(3)
+    kept = nd.drop_near_duplicates(docs, 5, 80)
+    got = sorted(r.row_key for r in kept.collect())
+    assert kept.columns == docs.columns and len(got) == 6
+    assert {4, 8, 9, 10} < set(got) and len({5, 6} & set(got)) == len({7, 12} & set(got)) == 1
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)]
     df = spark.createDataFrame(links, "a long, b long").repartition(7)

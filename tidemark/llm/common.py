@@ -31,6 +31,14 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(df: DataFrame) -> tuple[DataFrame, str]:
+    """The settled table with an own key for each row, and the name of that column; ids may be null or repeat."""
+    name = "row_key"
+    while name in {c.lower() for c in df.columns}:
+        name += "_"
+    return settle(df.withColumn(name, F.monotonically_increasing_id())), name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import settle, small
+from tidemark.llm.common import keyed, settle, small
 
 #: Item shingles that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
@@ -78,6 +78,21 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, threshold
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
-    """Rows of ``docs`` without those that contain an item, columns as they are. Rows without an id are judged together."""
+    """Rows of ``docs`` without those that contain an item, columns as they are. Rows are judged by id, those without one together.
+
+    ``without_leaks`` judges row by row.
+    """
     leaks = contained_items(docs, items, width, threshold).select(F.col("doc_id").alias("leak_id")).distinct()
     return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("leak_id")), "left_anti")
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
+    """Rows of ``docs`` that contain no row of ``items``, columns as they are. Each row is judged by its own text.
+
+    Ids are not read: rows of either table that share an id, or have none, are searched one by one.
+    """
+    docs_, key = keyed(docs)
+    items_, item_key = keyed(items.select("text"))
+    leaks = contained_items(docs_.select(F.col(key).alias("doc_id"), "text"), items_.select(F.col(item_key).alias("item_id"), "text"),
+                            width, threshold)
+    return docs_.join(leaks.select(F.col("doc_id").alias(key)).distinct(), key, "left_anti").select(*(f"`{c}`" for c in docs.columns))

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import settle, small
+from tidemark.llm.common import keyed, settle, small
 from tidemark.llm.hashing import ShingleSets, mix
 
 #: Registers; at 32 bands of 4 a pair of similarity 0.8 is missed with a chance of 5e-8.
@@ -332,6 +332,12 @@ def _texts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of ``docs`` that stay when one document of each component is kept, columns as they are."""
-    gone = near_duplicates(docs, width, percent).where("not kept and doc_id is not null").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    """Rows of ``docs`` that stay when one row of each component is kept, columns as they are.
+
+    The row with the smallest doc_id stays, one without an id only where all are; rows that share an id are told apart by
+    a key of their own. Rows with an empty set are in no component and stay.
+    """
+    rows, key = keyed(docs)
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col(key).alias("key"))
+    gone = near_duplicates(rows.select(place.alias("doc_id"), "text"), width, percent).where("not kept").select(F.col("doc_id.key").alias(key))
+    return rows.join(gone, key, "left_anti").select(*(f"`{c}`" for c in docs.columns))
