@@ -150,3 +150,22 @@ def test_inverse_map(spark):
     c = [F.col(n) for n in ("p", "y", "mu", "sd")]
     got = df.select(*[N.to_raw_scale(m, *c).alias(m) for m in N.MODES]).collect()
     assert tuple(got[0]) == (2.0, 11.0, 12.0) and got[1].N1 is None
+
+
+def test_model_queries_run_every_candidate_on_every_fleet_and_horizon(spark, monkeypatch):
+    from checks import queries_models as Q
+
+    ran = []
+
+    def run_within(m, spec, models, sink):
+        ran.append((m.first()["env"], spec, models))
+        sink(m)
+
+    monkeypatch.setattr(Q.E, "run_within", run_within)
+    monkeypatch.setattr(Q, "_within_matrix", lambda spark, sf, e, horizons=None: spark.createDataFrame(
+        [(e, h) for h in horizons or Q.SPECS[e].horizons], "env string, h int"))
+    for name, query in (("rf", Q.forest_within), ("gbt", Q.boosted_within), ("rbf", Q.kernel_within)):
+        ran.clear()
+        got = {tuple(r) for r in query(spark, "").collect()}
+        assert ran == [(e, Q.SPECS[e], {name: p}) for e in "ABC" for p in L.CANDIDATES[name]]
+        assert {x[:2] for x in got} == {(e, h) for e in "ABC" for h in (1, 6, 12)} and len(got) == 9 * len(L.CANDIDATES[name])
