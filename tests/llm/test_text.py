@@ -67,6 +67,18 @@ def test_languages_of_held_out_texts(spark):
     assert all(got[i].lang_pred == lang and 0.5 < got[i].score <= 1 for i, _, lang in rows if i % 3 == 0)
 
 
+@pytest.mark.parametrize("train_docs", [400, 20])
+def test_copies_do_not_change_the_language_model(spark, train_docs):
+    import numpy as np
+
+    texts = [(t.replace("t", "wo"), "en") for t in plain.sentences(2, 60, 12)] + [("der die und nicht", "de"), ("les des une", "fr")]
+    copies = texts + texts[:1] * 3000 + texts[60:61] * 1000
+    once, often = (language.fit(spark.createDataFrame(rows, "text string, lang string").repartition(3), pieces, train_docs, 1)
+                   for rows in (texts, copies))
+    assert once[0] == often[0] == ["de", "en", "fr"] and np.allclose(once[1], often[1], rtol=1e-9)
+    assert (often[1].max(0) > 2 * often[1].min(0)).all()
+
+
 def test_language_of_odd_rows(spark):
     df = plain.odd(spark)
     model = language.fit(df, pieces)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import settle
 
 UNKNOWN = "und"
-#: Documents of each language that the model is fitted on (about: a draw by hash), and rounds of fitting.
+#: Distinct texts of each language that the model is fitted on (about: a draw by hash), and rounds of fitting.
 TRAIN_DOCS = 400
 ROUNDS = 3
 #: Characters after which a word is cut for scoring, and words scored together.
@@ -134,32 +134,36 @@ def expected_counts(pieces: Pieces, words: list[str], weights, prob):
 def fit(labelled: DataFrame, vocabulary: str, train_docs: int = TRAIN_DOCS, rounds: int = ROUNDS):
     """Piece probabilities of each language, from rows with text and lang: (languages, pieces x languages array).
 
-    About ``train_docs`` documents of each language are used, drawn by the hash of the whole text, so that copies are drawn
-    together. Word counts and expected piece counts are Spark aggregations; to the driver come a row per language and
-    one per language and piece of the fixed vocabulary.
+    About ``train_docs`` distinct texts of each language are used, all where it has fewer: drawn by the hash of the whole
+    text, and counted once however many rows repeat them. Texts are told apart by 64-bit hashes. Word counts and expected
+    piece counts are Spark aggregations; to the driver come a row per language and one per language and piece of the fixed
+    vocabulary.
     """
     import numpy as np
 
-    rows = labelled.where("lang is not null and text is not null").select("lang", "text")
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    rows = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text", F.lit(11)).alias("key"))
+    sizes = {r.lang: r["count"] for r in rows.select("lang", "key").distinct().groupBy("lang").count().collect()}
     languages = sorted(sizes)
     pieces = Pieces(vocabulary)
     if not languages:
         return [], np.zeros((pieces.n, 0))
     rate = F.create_map(*(F.lit(x) for lang in languages for x in (lang, min(1.0, train_docs / sizes[lang]))))
-    drawn = rows.where(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 20)) < F.element_at(rate, F.col("lang")) * (1 << 20))
+    drawn = rows.where(F.pmod("key", F.lit(1 << 20)) < F.element_at(rate, F.col("lang")) * (1 << 20))
 
     def split(batches: Iterator) -> Iterator:
         import pandas as pd
 
+        seen = set()  # of the drawn texts only, which are few
         for b in batches:
-            counts = Counter()
-            for lang, text in zip(b["lang"], b["text"], strict=True):
-                for w, n in words_in(text).items():
-                    counts[lang, w] += n
-            yield pd.DataFrame([(a, w, n) for (a, w), n in counts.items()], columns=["lang", "word", "n"])
-
-    words = settle(drawn.mapInPandas(split, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+            found = []
+            for lang, text, key in zip(b["lang"], b["text"], b["key"], strict=True):
+                if (lang, key) not in seen:
+                    seen.add((lang, key))
+                    found += [(lang, key, w, n) for w, n in words_in(text).items()]
+            yield pd.DataFrame(found, columns=["lang", "key", "word", "n"])
+
+    once = drawn.mapInPandas(split, "lang string, key long, word string, n long").dropDuplicates(["lang", "key", "word"])
+    words = settle(once.groupBy("lang", "word").agg(F.sum("n").alias("n")))
     prob = np.full((pieces.n, len(languages)), 1 / pieces.n)
     for _ in range(rounds):
         now = prob
