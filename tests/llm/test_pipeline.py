@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_all_queries_are_registered():
     names = entry.queries()
-    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14)) and "pipeline" in names
     assert len(corpus_pipeline.STAGES) == 5
 
 

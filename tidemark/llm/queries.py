@@ -7,11 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
-    decontaminate, fingerprints, language, licenses, mixing, near_duplicates, secrets, substrings, token_counts,
-    url_filter,
+    decontaminate, fingerprints, language, licenses, mixing, near_duplicates, resampling, secrets, signature_tree,
+    substrings, token_counts, url_filter, vector_codes,
 )
 from tidemark.llm.common import table
-from tidemark.llm.sql import CONTAINMENT_SQL, MIXTURE_SQL, URL_SQL
+from tidemark.llm.sql import CODES_SQL, CONTAINMENT_SQL, MIXTURE_SQL, RESAMPLING_SQL, URL_SQL, component_sql
 
 #: The rules that pages are judged by (verdict, host, path).
 URL_RULES = [
@@ -105,9 +105,28 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op11_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature_tree.similar_documents(table(spark, sf_dir, "documents"), width=3, percent=90).select(
+        "doc_id", "n_shingles", "component_id")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
+    return vector_codes.with_label_error(coded).select(
+        "vec_id", vector_codes.code_text(F.col("codes")).alias("code"), "error", "label_error",
+        F.lit(books.digest).alias("codebooks_sha256"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.importance_scores(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=1, buckets=10_000, percent=10,
+        least_words=20, seed=2024)
+
+
 QUERIES = [
     op1_benchmark_decontamination, op2_document_fingerprints, op3_suffix_array_dedup, op4_source_mixing,
     op5_license_scan, op6_language_id, op7_near_duplicates, op8_secret_scan, op9_url_filter, op10_token_counts,
+    op11_ngram_jaccard_join, op12_vector_codes, op13_importance_resampling,
 ]
 
 
@@ -116,4 +135,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_benchmark_decontamination": CONTAINMENT_SQL, "op4_source_mixing": MIXTURE_SQL, "op9_url_filter": URL_SQL}
+    return {"op1_benchmark_decontamination": CONTAINMENT_SQL, "op4_source_mixing": MIXTURE_SQL, "op9_url_filter": URL_SQL,
+            "op7_near_duplicates": component_sql(2, 80, kept=True), "op11_ngram_jaccard_join": component_sql(3, 90),
+            "op12_vector_codes": CODES_SQL, "op13_importance_resampling": RESAMPLING_SQL}
