@@ -7,10 +7,6 @@ unit tests and run here as they are.
 
 from __future__ import annotations
 
-import json
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks import sql as S
@@ -79,7 +75,7 @@ def _cv_sql() -> str:
 @query(_cv_sql())
 def ridge_cross_validation(spark, sf):
     m = feature_matrix(grid(spark, sf, "A"), SPECS["A"], (1,))
-    return rounded(E.cross_validate(m, SPECS["A"], "ridge", features=["lag_1"]).drop("params"))
+    return rounded(E.cross_validate(m, SPECS["A"], "ridge", features=["lag_1"]).drop("params", "n_train", "n_val"))
 
 
 @query()
@@ -147,18 +143,8 @@ def single_vs_grouped_transfer(spark, sf):
 
 
 def _every_candidate(spark, sf, name):
-    """Each published candidate of a model on each fleet and horizon, with its parameters; nothing is chosen by these scores.
-
-    Each result is stored as it is made.
-    """
-    parts = []
-    for e in ALL:
-        m = E.settle(_within_matrix(spark, sf, e))
-        for params in E.CANDIDATES[name]:
-            said = F.lit(json.dumps(params, sort_keys=True))
-            E.run_within(m, SPECS[e], {name: params},
-                         sink=lambda r, said=said: parts.append(E.settle(r.withColumn("params", said))))
-    return rounded(reduce(DataFrame.unionByName, parts))
+    """Each published candidate of a model on each fleet and horizon, with its parameters; nothing is chosen by these scores."""
+    return rounded(E.run_candidates({e: _within_matrix(spark, sf, e) for e in ALL}, SPECS, name))
 
 
 @query()

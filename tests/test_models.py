@@ -10,6 +10,7 @@ from tidemark.operators import splits as V
 from tidemark.operators.features import feature_matrix, feature_names
 from tidemark.operators.metrics import with_mase_scale
 from tidemark.plans import experiment as E
+from tidemark.plans import linear as M
 from tidemark.plans import models as L
 
 
@@ -94,7 +95,7 @@ def test_cross_validation_never_reads_a_test_row(spark, matrix):
 
 
 def test_first_candidate_wins_a_tie(spark):
-    log = spark.createDataFrame([("E", 1, "m", p, f"p{p}", 0, 1.0) for p in (1, 0, 2)], E.LOG_SCHEMA)
+    log = spark.createDataFrame([("E", 1, "m", p, f"p{p}", 0, 10, 2, 1.0) for p in (1, 0, 2)], E.LOG_SCHEMA)
     assert E.choose(log).first().position == 0
 
 
@@ -157,15 +158,88 @@ def test_model_queries_run_every_candidate_on_every_fleet_and_horizon(spark, mon
 
     ran = []
 
-    def run_within(m, spec, models, sink):
-        ran.append((m.first()["env"], spec, models))
-        sink(m)
+    def run_candidates(matrices, specs, name):
+        assert specs is Q.SPECS
+        ran.append(name)
+        return matrices["A"].unionByName(matrices["B"]).unionByName(matrices["C"])
 
-    monkeypatch.setattr(Q.E, "run_within", run_within)
+    monkeypatch.setattr(Q.E, "run_candidates", run_candidates)
     monkeypatch.setattr(Q, "_within_matrix", lambda spark, sf, e, horizons=None: spark.createDataFrame(
         [(e, h) for h in horizons or Q.SPECS[e].horizons], "env string, h int"))
     for name, query in (("rf", Q.forest_within), ("gbt", Q.boosted_within), ("rbf", Q.kernel_within)):
         ran.clear()
         got = {tuple(r) for r in query(spark, "").collect()}
-        assert ran == [(e, Q.SPECS[e], {name: p}) for e in "ABC" for p in L.CANDIDATES[name]]
-        assert {x[:2] for x in got} == {(e, h) for e in "ABC" for h in (1, 6, 12)} and len(got) == 9 * len(L.CANDIDATES[name])
+        assert ran == [name] and got == {(e, h) for e in "ABC" for h in (1, 6, 12)}
+
+
+def _two_horizons(spark):
+    g = with_mase_scale(grid_table(spark, DATA), SMALL)
+    return feature_matrix(g, SMALL, (1, 2), carry=("d",))
+
+
+def test_all_candidates_and_horizons_equal_single_fits(spark):
+    """What is computed together is what each candidate and horizon gives alone."""
+    m, names = _two_horizons(spark), ["lag_1", "diff_1", "roll_mean_3"]
+    small = {"ridge": [{"alpha": 0.1}, {"alpha": 30.0}], "rbf": [{"C": 1.0, "n_features": 8}, {"C": 10.0, "n_features": 8}],
+             "rf": [{"max_depth": 2, "n_trees": 3}, {"max_depth": 5, "n_trees": 3}],
+             "gbt": [{"max_depth": 2, "n_trees": 3}, {"max_depth": 3, "n_trees": 2}, {"max_depth": 3, "n_trees": 4}]}
+    for name, grid in small.items():
+        together = L.fit_all(name, grid, names, V.fit_rows(m, SMALL), ["env", "h"])(V.test_rows(m, SMALL))
+        for h in (1, 2):
+            own = m.where(F.col("h") == h)
+            for i, params in enumerate(grid):
+                one = L.fit(name, params, names, V.fit_rows(own, SMALL))(V.test_rows(own, SMALL))
+                key = ["series_id", "off"]
+                want = [r[0] for r in one.orderBy(*key).select("prediction").collect()]
+                got = [r[0] for r in together.where(F.col("h") == h).orderBy(*key).select(f"p{i}").collect()]
+                assert got == pytest.approx(want, rel=1e-9, abs=1e-9) and len(got) > 20, (name, h, params)
+
+
+def test_folds_from_one_pass_equal_fits_on_each_folds_rows(spark):
+    m, names, ends = _two_horizons(spark), ["lag_1", "diff_1", "roll_mean_3"], [e for _, e, _ in SMALL.fold_bounds]
+    log = E.cross_validate(m, SMALL, "ridge", [{"alpha": 0.5}, {"alpha": 20.0}], names).collect()
+    assert len(log) == 2 * 2 * len(ends) and all(r.n_train > r.n_val > 0 for r in log)
+    for fold, end, val in SMALL.fold_bounds:
+        for i, alpha in enumerate((0.5, 20.0)):
+            own = m.where(F.col("h") == 2)
+            found = L.fit("ridge", {"alpha": alpha}, names, own.where(V.in_range(0, end)))(own.where(V.in_range(end, val)))
+            want = E.validation_score(found.withColumns({"y_true": F.col("target"), "yhat": F.col("prediction")}), ["h"]).first().score
+            (got,) = [r.score for r in log if (r.h, r.fold, r.position) == (2, fold, i)]
+            assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_finished_parts_of_a_search_are_left_out(spark):
+    m, names = _two_horizons(spark), ["lag_1"]
+    assert {r.h for r in E.cross_validate(m, SMALL, "lr", None, names, done={("E", 1, "lr")}).collect()} == {2}
+    done = {("E", 1, "ridge", '{"alpha": 1.0}'), ("E", 2, "lr")}
+    assert {r.h for r in E.run_within(m, SMALL, {"ridge": {"alpha": 1.0}}, features=names, done=done).collect()} == {2}
+    assert {r.h for r in E.run_within(m, SMALL, {"ridge": {"alpha": 2.0}}, features=names, done=done).collect()} == {1, 2}
+
+
+def test_moments_merge(spark):
+    draw = np.random.default_rng(2)
+    x = draw.normal(1e6, 1, (300, 4))
+    a, b = M.Moments.of(x[:10]), M.Moments.of(x[10:])
+    whole, got = M.Moments.of(x), M.Moments.unpacked((a + b).packed(), 4)
+    assert got.n == 300 and np.allclose(got.mean, whole.mean) and np.allclose(got.co, whole.co)
+    w, _ = M.Moments.of(np.c_[x[:, 0], x[:, 0], x[:, 1]]).ridge(0)
+    assert w[0] == pytest.approx(w[1])  # dependent features share
+
+
+def test_robust_regression_is_that_of_the_other_solver(spark):
+    """The same objective minimised by Spark's own solver."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(400, 2))
+    y = np.sin(x[:, 0]) + 0.5 * x[:, 1] + 0.1 * draw.normal(size=400) + (draw.random(400) < 0.1) * 8
+    rows = spark.createDataFrame([(float(a), float(b), float(c)) for (a, b), c in zip(x, y, strict=True)], "a double, b double, target double")
+    found = M.KernelRegression(["a", "b"], [], 12, 42).fit(rows, [1.0])
+    phi = found.lift("", x)
+    lifted = spark.createDataFrame([(*map(float, p), float(t)) for p, t in zip(phi, y, strict=True)], ", ".join(f"f{i} double" for i in range(12)) + ", target double")
+    ready = VectorAssembler(inputCols=lifted.columns[:-1], outputCol="features").transform(lifted)
+    other = LinearRegression(labelCol="target", loss="huber", epsilon=1.35, maxIter=500, tol=1e-12, regParam=1 / 400).fit(ready)
+    w, scale = found.found["", 0]
+    assert np.abs(phi @ w[:-1] + w[-1] - (phi @ other.coefficients.toArray() + other.intercept)).max() < 5e-3
+    assert scale == pytest.approx(other.scale, rel=1e-3)

@@ -93,7 +93,7 @@ def rows_used(per_series: DataFrame, split_sizes: DataFrame, keys: list[str]) ->
 
 def validation_score(pred: DataFrame, keys: list[str]) -> DataFrame:
     """Model selection score: median over series of the MAE."""
-    per = per_series_metrics(pred, [*keys, *SERIES])
+    per = per_series_metrics(pred, list(dict.fromkeys([*keys, *SERIES])))
     return quantiles(per, keys, "mae", {"score": 0.5}).drop("n")
 
 
