@@ -33,49 +33,52 @@ def _matrices(spark, sf, envs, modes):
     return {(e, m): feature_matrix(grids[e], SPECS[e], mode=m) for e in envs for m in modes}
 
 
-@query(S.q([*S.base(), S.scale(), *S.frame(),
-            "co AS (SELECT env, h, regr_slope(target, lag_1) AS b1, regr_intercept(target, lag_1) AS b0 FROM mat"
-            " WHERE off + h < n_fit GROUP BY env, h)",
-            "lp AS (SELECT m.env, m.h, m.series_id, m.y_future AS yt, co.b0 + co.b1 * lag_1 AS yhat, d FROM mat m"
-            " JOIN co ON m.env = co.env AND m.h = co.h JOIN scl ON m.env = scl.env AND m.series_id = scl.series_id"
-            " WHERE off >= n_fit AND off + m.h < n)",
-            S.metrics("lp", "env, h, series_id", "lm")],
-           "SELECT env, h, series_id, 'lr' AS model, n_rows, " + S.rs("mae", "rmse", "smape", "mase", "r2") + " FROM lm"))
+def _within_sql(models: dict[str, str]) -> str:
+    """Per-series test metrics of regressions on all features; ``models`` maps a name to its penalty."""
+    ctes, union = [*S.base(), S.scale(), *S.frame(), "fitted AS (SELECT * FROM mat WHERE off + h < n_fit)"], []
+    for name, alpha in models.items():
+        ctes += S.regression("fitted", ["env", "h"], name, alpha)
+        union.append(f"SELECT m.env, m.h, m.series_id, '{name}' AS model, m.y_future AS yt, {S.forecast('m', name)} AS yhat, d FROM mat m"
+                     f" JOIN {name} ON m.env = {name}.env AND m.h = {name}.h JOIN scl ON m.env = scl.env AND m.series_id = scl.series_id"
+                     " WHERE off >= n_fit AND off + m.h < n")
+    ctes.append("lp AS (" + " UNION ALL ".join(union) + ")")
+    return S.q([*ctes, S.metrics("lp", "env, h, series_id, model", "lm")],
+               "SELECT env, h, series_id, model, n_rows, " + S.rs("mae", "rmse", "smape", "mase", "r2") + " FROM lm")
+
+
+@query(_within_sql({"lr": "0"}))
 def linear_within(spark, sf):
-    return rounded(each(lambda e: E.run_within(
-        _within_matrix(spark, sf, e), SPECS[e], {"lr": {}}, features=["lag_1"])))
+    return rounded(each(lambda e: E.run_within(_within_matrix(spark, sf, e), SPECS[e], {"lr": {}})))
 
 
-@query()
+@query(_within_sql({"lr": "0", "ridge": "10"}))
 def linear_and_ridge_all_features(spark, sf):
     return rounded(each(lambda e: E.run_within(
-        _within_matrix(spark, sf, e, (1,)), SPECS[e], {"lr": {}, "ridge": {"alpha": 10.0}})))
-
-
-_CV_FOLDS = ", ".join(f"({f}, {a}, {b})" for f, a, b in SPECS["A"].fold_bounds)
+        _within_matrix(spark, sf, e), SPECS[e], {"lr": {}, "ridge": {"alpha": 10.0}})))
 
 
 def _cv_sql() -> str:
     alphas = "(0, 0.01), (1, 0.1), (2, 1.0), (3, 10.0), (4, 100.0)"
+    folds = ", ".join(f"('{e}', {f}, {a}, {b})" for e in ALL for f, a, b in SPECS[e].fold_bounds)
     return S.q([
-        *S.base(("A",)), *S.frame(hs=(1,)),
-        f"fb AS (SELECT * FROM (VALUES {_CV_FOLDS}) t(fold, te, ve))",
+        *S.base(), *S.frame(),
+        f"fb AS (SELECT * FROM (VALUES {folds}) t(env, fold, te, ve))",
         f"al AS (SELECT pos, CAST(alpha AS DOUBLE) AS alpha FROM (VALUES {alphas}) t(pos, alpha))",
-        "st AS (SELECT fold, avg(target) AS my, avg(lag_1) AS mx, stddev_pop(lag_1) AS sx, covar_pop(lag_1, target) AS cxy,"
-        " count(*) AS n FROM mat, fb WHERE off + h < te GROUP BY fold)",
-        "pr AS (SELECT fb.fold, al.pos, m.series_id, m.target AS yt,"
-        " my + cxy / (sx * sx) * st.n / (st.n + alpha) * (lag_1 - mx) AS yhat FROM mat m, fb, al JOIN st ON st.fold = fb.fold"
-        " WHERE off >= te AND off + h < ve)".replace("FROM mat m, fb, al JOIN st ON st.fold = fb.fold WHERE",
-                                                     "FROM mat m, fb, al, st WHERE st.fold = fb.fold AND"),
-        "ps AS (SELECT fold, pos, series_id, avg(abs(yt - yhat)) AS mae FROM pr GROUP BY ALL)",
-        "sc AS (SELECT fold, pos, median(mae) AS score FROM ps GROUP BY ALL)"],
-        "SELECT 'A' AS env, 1 AS h, 'ridge' AS model, pos AS position, fold, " + S.rs("score") + " FROM sc")
+        "fitted AS (SELECT m.*, fold, pos, alpha FROM mat m JOIN fb ON m.env = fb.env AND off + h < te, al)",
+        *S.regression("fitted", ["env", "h", "fold", "pos", "alpha"], "co", "alpha"),
+        f"pr AS (SELECT m.env, m.h, fb.fold, co.pos, m.series_id, m.target AS yt, {S.forecast('m', 'co')} AS yhat FROM mat m JOIN fb"
+        " ON m.env = fb.env AND off >= te AND off + h < ve JOIN co ON co.env = m.env AND co.h = m.h AND co.fold = fb.fold)",
+        "ps AS (SELECT env, h, fold, pos, series_id, avg(abs(yt - yhat)) AS mae FROM pr GROUP BY ALL)",
+        "nt AS (SELECT m.env, m.h, fold, count(*) FILTER (off + h < te) AS n_train, count(*) FILTER (off >= te AND off + h < ve) AS n_val"
+        " FROM mat m JOIN fb ON m.env = fb.env GROUP BY ALL)",
+        "sc AS (SELECT env, h, fold, pos, median(mae) AS score FROM ps GROUP BY ALL)"],
+        "SELECT env, h, 'ridge' AS model, pos AS position, fold, n_train, n_val, " + S.rs("score") + " FROM sc JOIN nt USING (env, h, fold)")
 
 
 @query(_cv_sql())
 def ridge_cross_validation(spark, sf):
-    m = feature_matrix(grid(spark, sf, "A"), SPECS["A"], (1,))
-    return rounded(E.cross_validate(m, SPECS["A"], "ridge", features=["lag_1"]).drop("params", "n_train", "n_val"))
+    """Every published penalty on all features, fleets, horizons and folds."""
+    return rounded(each(lambda e: E.cross_validate(feature_matrix(grid(spark, sf, e), SPECS[e]), SPECS[e], "ridge").drop("params")))
 
 
 @query()

@@ -242,5 +242,38 @@ def verdict(effect: str, negative: str, positive: str) -> str:
             f" WHEN {effect} > 0 THEN '{positive}' ELSE 'significant_zero_median' END AS verdict")
 
 
+def regression(src: str, keys: list[str], name: str, alpha: str = "0", features=tuple(FEATURES)) -> list[str]:
+    """Ridge of ``target`` on standardised features per key: ``{name}(keys, mt, m, s, w)`` with means, deviations and coefficients.
+
+    The normal equations are solved by elimination, a table per step; a feature that depends on earlier ones gets 0.
+    ``alpha`` is an expression over the keys.
+    """
+    p, k = len(features), ", ".join(keys)
+    on = " AND ".join(f"r.{c} = {name}_m.{c}" for c in keys)
+    z = [f"CASE WHEN s[{i + 1}] > 1e-9 * greatest(1, abs(m[{i + 1}])) THEN (r.{f} - m[{i + 1}]) / s[{i + 1}] ELSE 0 END AS z{i}" for i, f in enumerate(features)]
+    entry = [f"avg(z{i} * z{j}) AS g{i}_{j}" for i in range(p) for j in range(i, p)] + [f"avg(z{i} * zt) AS g{i}_{p}" for i in range(p)]
+    cell = lambda i, j: f"g{min(i, j)}_{max(i, j)}" + (f" + ({alpha}) / n" if i == j else "")
+    rows = "[" + ", ".join("[" + ", ".join(cell(i, j) for j in range(p + 1)) + "]" for i in range(p)) + "]"
+    out = [f"{name}_m AS MATERIALIZED (SELECT {k}, count(*) AS n, avg(target) AS mt, [" + ", ".join(f"avg({f})" for f in features) + "] AS m, ["
+           + ", ".join(f"stddev_pop({f})" for f in features) + f"] AS s FROM {src} GROUP BY {k})",
+           f"{name}_g AS MATERIALIZED (SELECT {k}, " + ", ".join(entry) + f" FROM (SELECT {', '.join('r.' + c for c in keys)}, r.target - mt AS zt, "
+           + ", ".join(z) + f" FROM {src} r JOIN {name}_m ON {on}) GROUP BY {k})",
+           f"{name}_0 AS MATERIALIZED (SELECT {k}, {rows} AS g FROM {name}_g JOIN {name}_m USING ({k}))"]
+    for i in range(1, p + 1):
+        out.append(f"{name}_{i} AS MATERIALIZED (SELECT {k}, CASE WHEN abs(g[{i}][{i}]) < 1e-10 THEN list_transform(g, lambda r, nr: CASE WHEN nr = {i}"
+                   f" THEN list_transform(r, lambda x: 0.0::DOUBLE) ELSE r END) ELSE list_transform(g, lambda r, nr: CASE WHEN nr = {i}"
+                   f" THEN list_transform(r, lambda x: x / g[{i}][{i}]) ELSE list_transform(r, lambda x, nc: x - r[{i}] / g[{i}][{i}] * g[{i}][nc]) END) END AS g"
+                   f" FROM {name}_{i - 1})")
+    out.append(f"{name} AS MATERIALIZED (SELECT {k}, mt, m, s, list_transform(g, lambda r: r[{p + 1}]) AS w FROM {name}_{p} JOIN {name}_m USING ({k}))")
+    return out
+
+
+def forecast(row: str, name: str, features=tuple(FEATURES)) -> str:
+    """Forecast of a row by the coefficients of ``regression``."""
+    return f"({name}.mt" + "".join(
+        f" + CASE WHEN {name}.s[{i + 1}] > 1e-9 * greatest(1, abs({name}.m[{i + 1}])) THEN {name}.w[{i + 1}] * ({row}.{f} - {name}.m[{i + 1}]) / {name}.s[{i + 1}]"
+        " ELSE 0 END" for i, f in enumerate(features)) + ")"
+
+
 def q(ctes: list[str], select: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + select
