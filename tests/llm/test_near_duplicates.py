@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from tests.llm import plain
+from tidemark.llm import linking
 from tidemark.llm import near_duplicates as nd
 from tidemark.llm.hashing import ShingleSets
 
@@ -30,10 +31,8 @@ def test_components_agree_with_all_pairs(spark, width, percent):
 
 
 def test_a_large_group_in_small_blocks(spark, monkeypatch):
-    monkeypatch.setattr(nd, "BLOCK_SETS", 16)
-    monkeypatch.setattr(nd, "GROUP", 8)
-    monkeypatch.setattr(nd, "ROUNDS", 0)
-    monkeypatch.setattr(nd, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(linking, "SETS", 16)
+    monkeypatch.setattr(linking, "BROADCAST_ROWS", 0)
     rows = _near_copies(8, 120, 2)
     got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()
     assert {r.doc_id: r.component_id for r in got} == plain.components(rows, 2, 80)
@@ -65,9 +64,9 @@ def test_one_row_of_a_component_stays_whatever_the_ids(spark):
 def test_components_of_a_long_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)]
     df = spark.createDataFrame(links, "a long, b long").repartition(7)
-    got = {r.node: r.label for r in nd.connected(df).collect()}
+    got = {r.node: r.label for r in linking.connected(df).collect()}
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 150), 100)}
-    assert nd.connected(df.where("a < 0")).count() == 0
+    assert linking.connected(df.where("a < 0")).count() == 0
 
 
 def test_sketches_merge_and_estimate():

@@ -5,10 +5,9 @@ a step of a geometric scale. Registers merge by their larger step and agree with
 similarity of the sets. Bands of registers propose pairs; the likelihood of the three ways in which registers compare
 estimates the similarity; links are confirmed on the full shingle sets.
 
-A bucket of sets that agree in a band may be huge, so its pairs are not listed. In a round each set is compared with
-one leader of its buckets that is not known to be connected to it, chosen by estimate. After a few rounds, what remains are buckets over more than one component: all their pairs across components are estimated
-in blocks, and those that may be similar are confirmed. So every pair that shares a bucket is connected,
-confirmed or estimated to be far below the limit.
+Sets meet by the buckets of their bands as module ``linking`` describes. Where sets meet, estimates rule out what is far
+below the limit, and the other pairs are compared in full there and then, unless they are connected already. So no pair is
+listed, and every pair that shares a bucket is connected, compared or estimated to be far below the limit.
 """
 
 from __future__ import annotations
@@ -19,8 +18,10 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import keyed, settle, small
+from tidemark.llm.common import keyed, settle
 from tidemark.llm.hashing import ShingleSets, mix
+from tidemark.llm.linking import link
+from tidemark.llm.signature_tree import batches_of_texts, labelled, set_key, signature_bits, signatures, texts_of
 
 #: Registers; at 32 bands of 4 a pair of similarity 0.8 is missed with a chance of 5e-8.
 REGISTERS, BAND = 128, 4
@@ -28,14 +29,8 @@ REGISTERS, BAND = 128, 4
 RATIO, OFFSET = 1.1, 32.0
 #: An estimate this far below the limit (five standard errors) rules a pair out.
 MARGIN = 0.18
-#: Sets of one leader that a task confirms together, and sets of a bucket that are compared as a block.
-GROUP, BLOCK_SETS = 256, 1024
-#: Rows whose texts a task unpacks together, and elements that it draws registers for together.
-ROWS, ELEMENTS = 1000, 60_000
-#: Rounds of comparing with leaders. They only shorten the exact comparison across components that follows.
-ROUNDS = 3
-#: Rows of an assignment table that are broadcast at most; more are joined by a shuffle.
-BROADCAST_ROWS = 100_000
+#: Elements that a task draws registers for together.
+ELEMENTS = 60_000
 
 
 def sketches(sets):
@@ -85,188 +80,95 @@ def estimate(a, b, size_a, size_b):
     return grid[np.arange(len(u)), fit.argmax(1)]
 
 
-def _signed(h):
-    return int.from_bytes(h, "big", signed=True)
-
-
 def set_table(docs: DataFrame, width: int) -> DataFrame:
-    """Per row: doc_id, n_shingles, set_key (of the whole set; null if empty) and sketch."""
+    """Per row: doc_id, n_shingles, load (bytes of text over 6), set_key (of the whole set; null if empty) and sketch."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator) -> Iterator:
-        from hashlib import blake2b
-
         import numpy as np
         import pyarrow as pa
 
         own = ShingleSets(width)
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
-                sizes, keys, registers, part, elements = [], [], [], [], 0
-                for s in own.of([t or "" for t in batch.column(1).to_pylist()]):
-                    sizes.append(len(s))
-                    keys.append(_signed(blake2b(s.tobytes(), digest_size=8).digest()) if len(s) else None)
-                    if len(s):
-                        part.append(s)
-                        elements += len(s)
-                    if elements > ELEMENTS:
-                        registers.append(sketches(part))
-                        part, elements = [], 0
-                if part:
+        for batch, texts in batches_of_texts(batches, 1):
+            sizes, keys, registers, part, elements = [], [], [], [], 0
+            for s in own.of(texts):
+                sizes.append(len(s))
+                keys.append(set_key(s))
+                if len(s):
+                    part.append(s)
+                    elements += len(s)
+                if elements > ELEMENTS:
                     registers.append(sketches(part))
-                rows = iter(np.concatenate(registers) if registers else ())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()),
-                     pa.array([next(rows).tobytes() if n else None for n in sizes], pa.binary())],
-                    names=["doc_id", "n_shingles", "set_key", "sketch"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, set_key long, sketch binary")
-
-
-def _forest(links: DataFrame) -> DataFrame:
-    """Links (a, b) with the same components: in each partition, every node to the smallest that it reaches there."""
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        above: dict[int, int] = {}
+                    part, elements = [], 0
+            if part:
+                registers.append(sketches(part))
+            rows = iter(np.concatenate(registers) if registers else ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array([len(t) // 6 + 1 for t in texts], pa.int64()), pa.array(keys, pa.int64()),
+                 pa.array([next(rows).tobytes() if n else None for n in sizes], pa.binary())],
+                names=["doc_id", "n_shingles", "load", "set_key", "sketch"])
 
-        def root(x: int) -> int:
-            while (up := above.setdefault(x, x)) != x:
-                above[x] = x = above[up]
-            return x
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, load long, set_key long, sketch binary")
 
-        for batch in batches:
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                a, b = root(a), root(b)
-                above[max(a, b)] = min(a, b)
-        nodes = [x for x, up in above.items() if up != x]
-        yield pa.RecordBatch.from_arrays([pa.array([root(x) for x in nodes], pa.int64()), pa.array(nodes, pa.int64())], names=["a", "b"])
-
-    return links.select("a", "b").mapInArrow(run, "a long, b long")
 
+def _partners(label, side, registers, sizes, limit: float):
+    """For each set the later ones, or those of the other side, whose registers agree often enough and whose sizes allow a link."""
+    import numpy as np
 
-def connected(links: DataFrame) -> DataFrame:
-    """Components of links (a, b): (node, label), the label being the smallest node of the component.
+    left, right = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
+    for i in left:
+        j = right[right > i] if left is right or side.min() == side.max() else right
+        j = j[(label[j] != label[i]) & (np.minimum(sizes[j], sizes[i]) + 1e-9 >= limit * np.maximum(sizes[j], sizes[i]))]
+        # registers that differ in more than half of all places are far below any limit that this serves
+        j = j[(registers[j] == registers[i]).sum(1) >= REGISTERS * max(0.0, limit - MARGIN)]
+        if len(j):
+            yield i, j
 
-    Links are first contracted within partitions. Then labels spread to neighbours and jump to the label of their
-    label, until none changes.
-    """
-    links = settle(_forest(links))
-    edges = settle(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = settle(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
-    while True:
-        near = (edges.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node"))
-                .agg(F.min("label").alias("near")))
-        spread = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        new = settle(spread.join(jump, "label").select("node", "old", F.least("label", "root").alias("label")))
-        labels = new.select("node", "label")
-        if new.where("old != label").isEmpty():
-            return labels
-
-
-def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels (node, label) of all nodes after new links: only links between different labels are followed."""
-    side = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
-    across = (links.join(side("a"), "a").join(side("b"), "b").where("label_a != label_b")
-              .select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct())
-    roots = connected(across).select(F.col("node").alias("label"), F.col("label").alias("root"))
-    return settle(labels.join(roots, "label", "left").select("node", F.coalesce("root", "label").alias("label")))
-
-
-def _estimated(pairs: DataFrame, sets: DataFrame, limit: float) -> DataFrame:
-    """Pairs (a, b) whose sizes allow the limit and whose estimate is not far below it, with the estimate."""
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
 
-        for p in batches:
-            if len(p):
-                a, b = (np.frombuffer(b"".join(p[c]), np.uint8).reshape(-1, REGISTERS) for c in ("sketch_a", "sketch_b"))
-                p = p[["a", "b"]].assign(similarity=estimate(a, b, p["n_a"].to_numpy(float), p["n_b"].to_numpy(float)))
-                yield p[p["similarity"] >= limit - MARGIN]
-
-    side = lambda x: sets.select(F.col("set_key").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    fit = F.least("n_a", "n_b") + 1e-9 >= limit * F.greatest("n_a", "n_b")
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(fit).mapInPandas(run, "a long, b long, similarity double")
+def _likeness(i, j, registers, sizes):
+    import numpy as np
 
+    return estimate(np.broadcast_to(registers[i], (len(j), REGISTERS)), registers[j], np.full(len(j), float(sizes[i])), sizes[j].astype(float))
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) with whether their full sets have the similarity. A set ``a`` goes to the task once per GROUP of partners."""
-    tools: dict[str, ShingleSets] = {}  # made once in a task
 
-    def run(key, table):
-        import numpy as np
-        import pyarrow as pa
+def sketch_links(label, side, registers, sizes, sets_of, percent: int):
+    """Pairs of places that connect what is linked across components; ``sets_of`` gives the full sets of places."""
+    import numpy as np
 
-        if not tools:
-            tools["sets"] = ShingleSets(width)
-        cols = table.to_pydict()
-        sets = list(tools["sets"].of(cols["text"]))
-        lead = next(s for s, x in zip(sets, cols["is_a"], strict=True) if x)
-        b, linked = [], []
-        for s, x, k in zip(sets, cols["is_a"], cols["set_key"], strict=True):
-            if not x:
-                both = len(np.intersect1d(s, lead, assume_unique=True))
-                b.append(k)
-                linked.append(100 * both >= percent * (len(s) + len(lead) - both))
-        return pa.table({"a": pa.array([key[0].as_py()] * len(b), pa.int64()), "b": pa.array(b, pa.int64()),
-                         "linked": pa.array(linked, pa.bool_())})
-
-    groups = pairs.groupBy("a").count().select("a", F.ceil(F.col("count") / GROUP).alias("groups"))
-    placed = pairs.join(groups, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("groups")))
-    members = placed.select(F.col("b").alias("set_key"), "a", "part", F.lit(False).alias("is_a"))
-    leaders = placed.select(F.col("a").alias("set_key"), "a", "part", F.lit(True).alias("is_a")).distinct()
-    rows = settle(members.unionByName(leaders))
-    return (texts.join(small(rows, BROADCAST_ROWS), "set_key").groupBy("a", "part")
-            .applyInArrow(run, "a long, b long, linked boolean"))
-
-
-def _across(rows: DataFrame, sets: DataFrame, limit: float) -> DataFrame:
-    """All pairs (a, b) of a bucket's sets in different components that may be similar, compared in blocks.
-
-    ``rows`` (bucket, set_key, label) are buckets over several components. A bucket is cut into blocks, and each pair
-    of blocks is a group of its own. A pair is given by the first band in which it agrees.
-    """
-    def run(key, table):
-        import numpy as np
-        import pyarrow as pa
+    limit, found = percent / 100, []
+    near = list(_partners(label, side, registers, sizes, limit))
+    if not near:
+        return found
+    places = np.unique(np.concatenate([[i for i, _ in near], *(j for _, j in near)]).astype(np.int64))
+    sets = sets_of(places)
+    marks, _, lost = signatures(sets, signature_bits(sets))
+    at = np.zeros(len(label), np.int64)
+    at[places] = np.arange(len(places))
+    for i, j in near:
+        j = j[label[j] != label[i]]
+        # what two sets can share at most, by their bitmaps
+        common = np.bitwise_count(marks[at[j]] & marks[at[i]]).sum(1, dtype=np.int64) + np.minimum(lost[at[j]], lost[at[i]])
+        j = j[(100 + percent) * common >= percent * (sizes[j] + sizes[i])]
+        if not len(j):
+            continue
+        likely = _likeness(i, j, registers, sizes)
+        for k in np.argsort(-likely, kind="stable"):
+            if likely[k] < limit - MARGIN:
+                break
+            if label[j[k]] == label[i]:
+                continue
+            a, b = sets[at[i]], sets[at[j[k]]]
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            if 100 * both >= percent * (len(a) + len(b) - both):
+                label[label == label[j[k]]] = label[i]
+                found.append((i, j[k]))
+    return found
+
+
+def _registers(table):
+    import numpy as np
 
-        key_, label, size, band = (table.column(c).to_numpy() for c in ("set_key", "label", "n_shingles", "band"))
-        block = table.column("block").to_numpy()
-        regs = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, REGISTERS)
-        low, high = key[1].as_py(), key[2].as_py()
-        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        out_a, out_b = [], []
-        for i in left:
-            j = right[(label[right] != label[i]) & (np.minimum(size[right], size[i]) + 1e-9 >= limit * np.maximum(size[right], size[i]))]
-            if low == high:
-                j = j[j > i]
-            # registers that differ in more than half of all places are far below any limit that this serves
-            j = j[(regs[j] == regs[i]).sum(1) >= REGISTERS * max(0.0, limit - MARGIN)]
-            if len(j):
-                a = np.broadcast_to(regs[i], (len(j), REGISTERS))
-                j = j[estimate(a, regs[j], np.full(len(j), float(size[i])), size[j].astype(float)) >= limit - MARGIN]
-                same = (regs[j] == regs[i]).reshape(len(j), REGISTERS // BAND, BAND).all(2)
-                j = j[same.argmax(1) == band[i]]
-                out_a += np.minimum(key_[j], key_[i]).tolist()
-                out_b += np.maximum(key_[j], key_[i]).tolist()
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
-
-    blocks = rows.groupBy("bucket").count().select("bucket", F.ceil(F.col("count") / BLOCK_SETS).alias("blocks"))
-    dealt = (rows.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")))
-             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-             .withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-             .join(sets.select("set_key", "n_shingles", "sketch"), "set_key"))
-    return dealt.groupBy("bucket", "low", "high").applyInArrow(run, "a long, b long").distinct()
-
-
-def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of the buckets that span several components, with their label and the bucket's first and last by label."""
-    own = members.join(labels.withColumnRenamed("node", "set_key"), "set_key").select("bucket", "band", "set_key", "label")
-    end = F.struct("label", "set_key")
-    mixed = own.groupBy("bucket").agg(F.min(end).alias("first"), F.max(end).alias("last")).where("first.label != last.label")
-    return settle(own.join(mixed, "bucket"))
+    return np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, REGISTERS), table.column("n_shingles").to_numpy()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -279,56 +181,38 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     their own text, and share ``kept``; null ids are larger than all others, and rows that are alone with a null id
     are kept with a null component_id. Other columns are not read. An empty table gives an empty result.
     """
-    limit = percent / 100
     rows = settle(set_table(docs, width))
     sets = settle(rows.where("set_key is not null").groupBy("set_key").agg(
-        F.min("doc_id").alias("rep_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
-    bands = [F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), F.expr(f"substring(sketch, {i * BAND + 1}, {BAND})")).alias("bucket"))
-             for i in range(REGISTERS // BAND)]
-    banded = sets.select("set_key", F.explode(F.array(*bands)).alias("b")).select("set_key", "b.band", "b.bucket")
-    shared = banded.groupBy("bucket").agg(F.min("set_key").alias("least"), F.max("set_key").alias("most")).where("least != most")
-    members = settle(banded.join(shared.select("bucket"), "bucket"))
-    texts = _texts(docs, settle(members.select("set_key").distinct().join(sets.select("set_key", "rep_id"), "set_key")), width)
-
-    labels = settle(members.select(F.col("set_key").alias("node"), F.col("set_key").alias("label")).distinct())
-    tried = members.sparkSession.createDataFrame([], "a long, b long")
-    for _ in range(ROUNDS):
-        own = _open_buckets(members, labels)
-        ends = F.explode(F.array("first", "last")).alias("end")
-        offered = (own.select("set_key", "label", ends).where("label != end.label")
-                   .select(F.col("end.set_key").alias("a"), F.col("set_key").alias("b")).distinct()
-                   .join(tried, ["a", "b"], "left_anti"))
-        best = (_estimated(offered, sets, limit).groupBy("b")
-                .agg(F.max_by("a", F.struct("similarity", "a")).alias("a")).select("a", "b"))
-        found = settle(_confirmed(settle(best), texts, width, percent))
-        new = found.where("linked")
-        if new.isEmpty():
-            break
-        tried = settle(tried.unionByName(found.select("a", "b")))
-        labels = _merged(labels, new)
-    rest = settle(_across(_open_buckets(members, labels).select("bucket", "band", "set_key", "label"), sets, limit))
-    labels = _merged(labels, settle(_confirmed(rest, texts, width, percent)).where("linked"))
-    labelled = rows.join(labels, F.col("set_key") == F.col("node"), "left").select(
-        "doc_id", "n_shingles", F.coalesce("label", "set_key").alias("label"))
-    smallest = labelled.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("smallest"))
-    alone = labelled.where("label is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    joined = labelled.join(smallest, "label").select("doc_id", "n_shingles", F.col("smallest").alias("component_id"))
-    return joined.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-
-
-def _texts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(set_key, text): one text for each wanted set, found by its document's id and checked by its key."""
-    def run(batches: Iterator) -> Iterator:
-        from hashlib import blake2b
+        F.min("doc_id").alias("rep_id"), F.first("n_shingles").alias("n_shingles"), F.max("load").alias("load"), F.first("sketch").alias("sketch")))
+    bands = [F.xxhash64(F.lit(i), F.expr(f"substring(sketch, {i * BAND + 1}, {BAND})")) for i in range(REGISTERS // BAND)]
+    banded = sets.select("set_key", F.explode(F.array(*bands)).alias("route"))
+    shared = banded.groupBy("route").agg(F.min("set_key").alias("lead"), F.max("set_key").alias("last")).where("lead != last").select("route", "lead")
+    members = settle(banded.join(shared, "route").distinct())
+    data = texts_of(docs, settle(members.select("set_key").distinct().join(sets, "set_key")), width)
+    tools: dict[str, ShingleSets] = {}  # made once in a task
 
-        own = ShingleSets(width)
-        for p in batches:
-            keys = [_signed(blake2b(s.tobytes(), digest_size=8).digest()) for s in own.of(p["text"].tolist())]
-            yield p[p["set_key"].to_numpy() == keys]
+    def forest(label, side, table):
+        import numpy as np
+
+        if not tools:
+            tools["sets"] = ShingleSets(width)
+        texts = table.column("text")
+        return sketch_links(np.unique(label, return_inverse=True)[1], side, *_registers(table),
+                            lambda places: list(tools["sets"].of(texts.take(places).to_pylist())), percent)
+
+    def sieve(label, side, table):
+        import numpy as np
+
+        registers, sizes = _registers(table)
+        stay = np.zeros(len(label), bool)
+        for i, j in _partners(label, side, registers, sizes, percent / 100):
+            j = j[_likeness(i, j, registers, sizes) >= percent / 100 - MARGIN]
+            stay[j] = True
+            stay[i] |= len(j) > 0
+        return np.flatnonzero(stay)
 
-    found = docs.where("text is not null").select("doc_id", "text").join(
-        small(wanted, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("set_key", "text")
-    return settle(found.mapInPandas(run, "set_key long, text string").dropDuplicates(["set_key"]))
+    found = labelled(rows, link(members, data, forest, sieve, sets))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

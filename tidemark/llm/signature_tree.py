@@ -114,6 +114,25 @@ def set_key(s):
     return int.from_bytes(blake2b(s.tobytes(), digest_size=8).digest(), "big", signed=True) if len(s) else None
 
 
+def signature_bits(sets) -> int:
+    """Bits of a signature of these sets, a power of two."""
+    bits = 1 << max(6, (BITS * max(len(s) for s in sets) - 1).bit_length())
+    while bits > 64 and bits * len(sets) > ALL_BITS:
+        bits //= 2
+    return bits
+
+
+def signatures(sets, bits: int):
+    """Bitmaps of sets, their sizes and the shingles that each loses to shared bits."""
+    import numpy as np
+
+    sizes = np.array([len(s) for s in sets])
+    flags = np.zeros((len(sizes), bits), bool)
+    flags[np.repeat(np.arange(len(sizes)), sizes), (np.concatenate(sets) & np.uint64(bits - 1)).astype(np.int64)] = True
+    marks = np.packbits(flags, axis=1).view(np.uint64)
+    return marks, sizes, sizes - np.bitwise_count(marks).sum(1, dtype=np.int64)
+
+
 class SignatureTree:
     """Nodes by level, leaves first; ``places`` are the sets of the leaves in the order of the tree."""
 
@@ -122,11 +141,7 @@ class SignatureTree:
 
         order = np.lexsort((np.array([len(sets[i]) for i in places]), np.array([sets[i][0] for i in places], np.uint64)))
         self.places = np.asarray(places)[order]
-        sizes = np.array([len(sets[i]) for i in self.places])
-        flags = np.zeros((len(sizes), bits), bool)
-        flags[np.repeat(np.arange(len(sizes)), sizes), (np.concatenate([sets[i] for i in self.places]) & np.uint64(bits - 1)).astype(np.int64)] = True
-        marks = np.packbits(flags, axis=1).view(np.uint64)
-        lost = sizes - np.bitwise_count(marks).sum(1, dtype=np.int64)
+        marks, sizes, lost = signatures([sets[i] for i in self.places], bits)
         self.levels = [(marks, sizes, sizes, lost)]
         while len(self.levels) < height:
             marks, low, high, lost = self.levels[-1]
@@ -164,10 +179,7 @@ def tree_links(sets, label, side, percent: int, seen: list | None = None):
     halves = [h for h in halves if len(h)]
     if not halves:
         return []
-    most = max(len(s) for s in sets)
-    bits = 1 << max(6, (BITS * most - 1).bit_length())
-    while bits > 64 and bits * len(sets) > ALL_BITS:
-        bits //= 2
+    bits = signature_bits(sets)
     height = max(height_of(len(h)) for h in halves)
     trees = [SignatureTree(sets, h, bits, height) for h in halves]
     one, two = trees[0], trees[-1]
@@ -264,7 +276,7 @@ def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(set_key, text, load): one text for each wanted set (set_key, rep_id, load), found by its document's id and checked by its key."""
+    """One text for each wanted set (set_key, rep_id and others), found by its document's id and checked by its key, with the other columns."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -273,5 +285,6 @@ def texts_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             yield batch.filter(pa.array([set_key(s) == k for s, k in zip(own.of(texts), batch.column(0).to_pylist(), strict=True)], pa.bool_()))
 
     found = docs.where("text is not null").select("doc_id", "text").join(
-        small(wanted, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("set_key", "text", "load")
-    return settle(found.mapInArrow(run, "set_key long, text string, load long").dropDuplicates(["set_key"]))
+        small(wanted, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("set_key", "text", *(c for c in wanted.columns if c not in ("set_key", "rep_id")))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema)
+    return settle(found.mapInArrow(run, kinds).dropDuplicates(["set_key"]))
