@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,15 +18,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> Column:
+    """The column of just this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def folded(df: DataFrame, without: tuple[str, ...] = ()) -> Column:
+    """All columns of a table but ``without`` as one, so that their names cannot meet those of an operator."""
+    names = [c for c in df.columns if c not in without]
+    return (F.struct(*map(quoted, names)) if names else F.struct(F.lit(None).cast("int").alias("none"))).alias("kept")
+
+
+def unfolded(df: DataFrame, without: tuple[str, ...] = ()) -> list[Column]:
+    """The columns that ``folded`` put together, of the table that it was given."""
+    return [F.col("kept").getField(c).alias(c) for c in df.columns if c not in without]
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write a table to the shared checkpoint folder and read it back, so that a lost executor costs no recomputation.
 
-    The folder is the one in ``spark.checkpoint.dir``; only where none is set (tests) a temporary one is used.
+    The folder is the one in ``spark.checkpoint.dir``. Only where none is set and all runs on one machine (tests) a temporary
+    one is used; on a cluster other machines would not see it, which is an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-ckpt-"))
     path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -23,8 +23,8 @@ ROUNDS = 3
 #: Characters after which a word is cut for scoring, and words scored together.
 LONGEST_WORD = 24
 CHUNK = 20_000
-#: Words whose scores a task remembers; when it has more it starts anew.
-DICTIONARY = 1_000_000
+#: Words whose scores a task remembers, and characters of them; when it has more it starts anew.
+DICTIONARY, CHARACTERS = 250_000, 1 << 22
 #: Probability of a character that no piece covers; share of all counts spread over pieces not seen.
 FLOOR = 1e-7
 START = "▁"
@@ -197,7 +197,8 @@ class Predictor:
         self.languages, self.prob = model
         self.pieces = Pieces(vocabulary)
         self.place: dict[str, int] = {}
-        self.scores = np.zeros((0, len(self.languages)))
+        self.scores = np.zeros((0, len(self.languages)), np.float32)
+        self.characters = 0
 
     def _learn(self, words) -> None:
         import numpy as np
@@ -210,8 +211,9 @@ class Predictor:
                 chunk = same[i:i + CHUNK]
                 low, high = len(self.place), len(self.place) + len(chunk)
                 self.place.update(zip(chunk, range(low, high), strict=True))
+                self.characters += len(chunk) * len(chunk[0])
                 if high > len(self.scores):
-                    more = np.zeros((max(2 * len(self.scores), high, 65536) - len(self.scores), len(self.languages)))
+                    more = np.zeros((max(2 * len(self.scores), high, 65536) - len(self.scores), len(self.languages)), np.float32)
                     self.scores = np.concatenate([self.scores, more])
                 self.scores[low:high] = forward(self.pieces, chunk, self.prob)[0]
 
@@ -222,8 +224,8 @@ class Predictor:
         out = []
         for at in range(0, len(texts), 500):
             part = [words_in(t) if t else None for t in texts[at:at + 500]]
-            if len(self.place) > DICTIONARY:
-                self.place, self.scores = {}, self.scores[:0]
+            if len(self.place) > DICTIONARY or self.characters > CHARACTERS:
+                self.place, self.scores, self.characters = {}, self.scores[:0], 0
             if self.languages:
                 self._learn(set().union(*(p for p in part if p)) - self.place.keys())
             for p in part:

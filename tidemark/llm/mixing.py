@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, settle
+from tidemark.llm.common import WORD, keyed, quoted, settle
 
 #: Slices of the seeded order of a source. A slice, not a source, is what one task sorts.
 SLICE_DIGITS = 3
@@ -46,8 +46,14 @@ def mix_plan(docs: DataFrame, weights: DataFrame, max_epochs: int = 3, seed: int
     words taken from a source are its rounded target. Equal draws are ordered by id and size. Null texts have size 0
     and give nothing; an empty table gives an empty result. Every row counts by itself, repeated ids too.
     """
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    sized = settle(docs.select("doc_id", "source", word_count(F.col(text)).alias("size"), key.alias("draw")))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    return _plan(docs.select("doc_id", "source", word_count(F.col(text)).alias("size"), F.lit(0).cast("long").alias("row"), name.alias("name")),
+                 weights, max_epochs, seed).drop("row")
+
+
+def _plan(rows: DataFrame, weights: DataFrame, max_epochs: int, seed: int) -> DataFrame:
+    """The plan for ``rows`` (doc_id, source, size, row, name): drawn by name, equal draws by id, size and row."""
+    sized = settle(rows.withColumn("draw", F.md5(F.concat(F.lit(f"{seed}:"), "name"))).drop("name"))
     sources = settle(sized.groupBy("source").agg(F.sum("size").alias("source_size"))
                      .join(weights.select(F.col("source").alias("w_source"), "weight"),
                            F.col("source").eqNullSafe(F.col("w_source")), "left")
@@ -66,12 +72,12 @@ def mix_plan(docs: DataFrame, weights: DataFrame, max_epochs: int = 3, seed: int
     slices = slices.select(F.col("source").alias("s_source"), F.col("slice").alias("s_slice"),
                            F.coalesce(before, F.lit(0)).alias("slices_before"))
     slices = (slices.join(plan, F.col("s_source").eqNullSafe(F.col("p_source"))).drop("p_source"))
-    inside = W.partitionBy("source", "slice").orderBy("draw", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("source", "slice").orderBy("draw", "doc_id", "size", "row").rowsBetween(W.unboundedPreceding, -1)
     placed = sized.withColumn("slice", F.substring("draw", 1, SLICE_DIGITS)).withColumn(
         "before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     joined = placed.join(slices, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("slice") == F.col("s_slice")))
     extra = F.greatest(F.lit(0), F.least(F.col("size"), F.expr("rest - slices_before - before")))
-    return joined.select("doc_id", "source", "size", "source_size", "target",
+    return joined.select("row", "doc_id", "source", "size", "source_size", "target",
                          (F.col("whole") * F.col("size") + extra).cast("long").alias("taken"))
 
 
@@ -90,17 +96,17 @@ def mixed(docs: DataFrame, weights: DataFrame, max_epochs: int = 3, seed: int =
     """The mix itself: each document once per repetition that it gives, with the words of that repetition.
 
     Columns of the input stay; ``mix_copy`` (from 1) and ``mix_words`` are added (and replaced if present). A
-    fractional repetition has fewer words than the document; documents that give nothing are left out. Rows that
-    repeat an id each give what the plan gives to that id and size.
+    fractional repetition has fewer words than the document; documents that give nothing are left out. Each row gives what
+    the plan takes from it: rows that share an id or have none are told apart by a key, and of a source's words none go to another.
     """
-    plan = (mix_plan(docs, weights, max_epochs, seed)
-            .select(F.col("doc_id").alias("m_id"), F.col("size").alias("m_size"), "taken")
-            .groupBy("m_id", "m_size").agg(F.sum("taken").alias("m_taken"), F.count("*").alias("m_rows"))
-            .where("m_taken > 0"))
+    rows, key = keyed(docs)
+    own = F.col("doc_id").cast("string")
+    sized = rows.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.col(key).alias("row"),
+                        F.coalesce(own, F.concat(F.lit("null:"), F.col(key).cast("string"))).alias("name"))
+    plan = _plan(sized, weights, max_epochs, seed).where("taken > 0").select(
+        F.col("row"), F.struct("taken", "size", F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("size"))).alias("copies")).alias("given"))
     kept = [c for c in docs.columns if c not in ("mix_copy", "mix_words")]
-    each = F.expr("m_taken div m_rows")
-    copies = F.ceil(each / F.col("m_size")).cast("int")
-    rows = (docs.select(*kept).join(plan, F.col("doc_id").eqNullSafe(F.col("m_id")) & (word_count(F.col("text")) == F.col("m_size")))
-            .where(copies > 0).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), copies))))
-    words = F.least(F.col("m_size"), each - (F.col("mix_copy") - 1) * F.col("m_size"))
-    return rows.select(*kept, F.col("mix_copy").cast("long").alias("mix_copy"), words.alias("mix_words"))
+    held = rows.select(F.col(key).alias("row"), F.struct(*map(quoted, kept)).alias("kept")).join(plan, "row")
+    each = held.select("kept", "given", F.explode("given.copies").alias("mix_copy"))
+    words = F.least("given.size", F.col("given.taken") - (F.col("mix_copy") - 1) * F.col("given.size"))
+    return each.select(*[F.col("kept").getField(c).alias(c) for c in kept], "mix_copy", words.alias("mix_words"))

@@ -39,12 +39,16 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     ordered = W.partitionBy("range_no").orderBy("is_copy", "doc_id", "text")
     half = F.floor(F.char_length("text") / 2).cast("int")
     edited = F.concat(F.left("text", F.char_length("text") - half), F.left("next_text", half))
-    pairs = (fingerprints.ranges_with_next(docs).withColumn("next_text", F.coalesce(F.lead("text").over(ordered), F.lit("")))
-             .withColumn("edited", edited)
-             .withColumn("f", fingerprints.packed_fingerprint(F.col("text")))
-             .withColumn("g", F.when(~F.col("is_copy"), fingerprints.packed_fingerprint(F.col("edited"))))
-             .withColumn("next_f", F.lead("f").over(ordered)).where(~F.col("is_copy")))
-    return pairs.select(
+
+    def marked(rows: DataFrame, is_own) -> DataFrame:
+        return (rows.withColumn("edited", edited).withColumn("f", fingerprints.packed_fingerprint(F.col("text")))
+                .withColumn("g", F.when(is_own, fingerprints.packed_fingerprint(F.col("edited")))))
+
+    pairs = (marked(fingerprints.ranges_with_next(docs).withColumn("next_text", F.coalesce(F.lead("text").over(ordered), F.lit(""))), ~F.col("is_copy"))
+             .withColumn("next_f", F.lead("f").over(ordered)).where(~F.col("is_copy")).drop("range_no", "is_copy"))
+    # A row without an id follows nothing and has no next document: the end of its edited text is dropped.
+    alone = marked(docs.where("doc_id is null").withColumn("next_text", F.lit("")), F.lit(True)).withColumn("next_f", F.lit(None).cast("array<bigint>"))
+    return pairs.unionByName(alone).select(
         "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         fingerprints.as_hex(F.col("f")).alias("fingerprint"), fingerprints.as_hex(F.col("g")).alias("edited_fingerprint"),
         fingerprints.likeness(F.col("f"), F.col("g")).alias("near_edited"),

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import partitions
+from tidemark.llm.common import folded, partitions, unfolded
 
 
 @dataclass(frozen=True)
@@ -195,7 +195,11 @@ def scan_secrets(docs: DataFrame, rules=RULES) -> DataFrame:
     id share the postings of that id and are each searched in their own text, so nothing is lost. Spans of
     different rules may overlap.
     """
-    keep = [c for c in docs.columns if c != "secret_spans"]
+    return _scanned(docs, rules, ("secret_spans",)).select(*unfolded(docs, ("secret_spans",)), F.col("found").alias("secret_spans"))
+
+
+def _scanned(docs: DataFrame, rules, without: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` folded into one column, with text and the spans ``found`` in it."""
     found = candidates(docs, rules).select(F.col("doc_id").alias("candidate_id"), F.col("rules").alias("candidate_rules"))
     full = tuple(r for r in rules if not trigram_query(r.pattern))
     always = [r.kind for r in full]
@@ -209,7 +213,7 @@ def scan_secrets(docs: DataFrame, rules=RULES) -> DataFrame:
             .otherwise(F.concat(F.coalesce("candidate_rules", F.expr("cast(array() as array<string>)")),
                                 F.when(possible, F.array(*map(F.lit, always))).otherwise(F.expr("cast(array() as array<string>)"))
                                 if always else F.expr("cast(array() as array<string>)"))))
-    rows = docs.select(*keep).join(found, F.col("doc_id") == F.col("candidate_id"), "left")
+    rows = docs.select("doc_id", "text", folded(docs, without)).join(found, F.col("doc_id") == F.col("candidate_id"), "left")
 
     @F.pandas_udf("array<struct<start:bigint,kind:string,end:bigint>>")
     def spans(text, kinds):
@@ -222,8 +226,8 @@ def scan_secrets(docs: DataFrame, rules=RULES) -> DataFrame:
             out.append([{"start": s, "kind": k, "end": e} for s, k, e in find_spans(t, wanted)] if t and wanted else [])
         return pd.Series(out)
 
-    return rows.select(*keep, todo.alias("secret_todo")).select(
-        *keep, spans(F.when(F.size("secret_todo") > 0, F.col("text")), F.col("secret_todo")).alias("secret_spans"))
+    return rows.select("kept", "text", todo.alias("todo")).select(
+        "kept", "text", spans(F.when(F.size("todo") > 0, F.col("text")), F.col("todo")).alias("found"))
 
 
 def listed(spans: Column) -> Column:
@@ -255,11 +259,11 @@ def redact(docs: DataFrame, rules=RULES, mask: str = "[secret]") -> DataFrame:
             out.append("".join([*parts, t[at:]]))
         return pd.Series(out)
 
-    scanned = scan_secrets(docs, rules)
-    text = F.when(F.size("secret_spans") > 0, masked("text", "secret_spans")).otherwise(F.col("text"))
-    out = scanned.withColumn("text", text)
+    hit = F.size("found") > 0
+    new = {"text": F.when(hit, masked("text", "found")).otherwise(F.col("text"))}
+    scanned = _scanned(docs, rules).select("kept", hit.alias("hit"), new["text"].alias("text"))
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.size("secret_spans") > 0, F.char_length("text").cast(kind))
-                             .otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        old = F.col("kept").getField("n_chars")
+        new["n_chars"] = F.when(F.col("hit"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(old)
+    new["text"] = F.col("text")
+    return scanned.select(*[new[c].alias(c) if c in new else F.col("kept").getField(c).alias(c) for c in docs.columns])

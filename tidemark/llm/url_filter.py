@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import lower_ascii
+from tidemark.llm.common import folded, lower_ascii, quoted, unfolded
 
 #: Length in hex digits of the part of a digest that is joined on; the rest is compared afterwards.
 PREFIX = 8
@@ -62,8 +62,8 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url: str = "url", default: str
     that are called host, path, rule or verdict are replaced. An empty list of rules fits nothing.
     """
     shapes, hashed = _expressions(rules)
-    keep = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict")]
-    parsed = urls.select(*keep, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    new = ("host", "path", "rule", "verdict")
+    parsed = urls.select(folded(urls, new), host_of(quoted(url)).alias("host"), path_of(quoted(url)).alias("path"))
     exprs = (parsed.select("host", "path").where("host != ''").distinct()
              .withColumn("labels", F.size(F.split("host", r"\.")))
              .withColumn("shape", F.explode(F.filter(
@@ -75,6 +75,6 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url: str = "url", default: str
         F.char_length("rule"), F.char_length("rule_host"), F.col("verdict") == "block", "rule"))
     found = (exprs.join(hashed, "prefix").where("digest = rule_digest").groupBy("host", "path").agg(best.alias("best")))
     return (parsed.join(found, ["host", "path"], "left")
-            .select(*keep, "host", "path", F.col("best.rule").alias("rule"),
+            .select(*unfolded(urls, new), "host", "path", F.col("best.rule").alias("rule"),
                     F.coalesce("best.verdict", F.when(F.col("host") == "", without_host).otherwise(default))
                     .alias("verdict")))
