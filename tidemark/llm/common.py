@@ -5,12 +5,15 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The ASCII white space that separates words, as a regular expression class.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows whose texts a task unpacks together, and their bytes.
+ROWS, BYTES = 1000, 1 << 22
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -80,3 +83,22 @@ def lower_ascii(text: Column) -> Column:
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Mark a settled table for broadcasting if it has at most ``rows`` rows; otherwise joins shuffle it."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def batches_of_texts(batches: Iterator, column: int) -> Iterator:
+    """Parts of the batches, cut by rows and by bytes of text, with their texts (null: empty)."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for whole in batches:
+        sizes = pc.fill_null(pc.binary_length(whole.column(column)), 0).to_numpy()
+        at = 0
+        while at < whole.num_rows:
+            end, size = at + 1, sizes[at]
+            while end < whole.num_rows and end - at < ROWS and size + sizes[end] <= BYTES:
+                size += sizes[end]
+                end += 1
+            part = whole.slice(at, end - at)
+            yield part, [t or "" for t in part.column(column).to_pylist()]
+            at = end
+        pa.default_memory_pool().release_unused()

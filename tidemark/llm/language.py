@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import settle
+from tidemark.llm.common import batches_of_texts, settle
 
 UNKNOWN = "und"
 #: Distinct texts of each language that the model is fitted on (about: a draw by hash), and rounds of fitting.
@@ -22,9 +22,9 @@ TRAIN_DOCS = 400
 ROUNDS = 3
 #: Characters after which a word is cut for scoring, and words scored together.
 LONGEST_WORD = 24
-CHUNK = 20_000
+CHUNK = 5000
 #: Words whose scores a task remembers, and characters of them; when it has more it starts anew.
-DICTIONARY, CHARACTERS = 250_000, 1 << 22
+DICTIONARY, CHARACTERS = 200_000, 1 << 22
 #: Probability of a character that no piece covers; share of all counts spread over pieces not seen.
 FLOOR = 1e-7
 START = "▁"
@@ -222,8 +222,8 @@ class Predictor:
         import numpy as np
 
         out = []
-        for at in range(0, len(texts), 500):
-            part = [words_in(t) if t else None for t in texts[at:at + 500]]
+        for at in range(0, len(texts), 250):
+            part = [words_in(t) if t else None for t in texts[at:at + 250]]
             if len(self.place) > DICTIONARY or self.characters > CHARACTERS:
                 self.place, self.scores, self.characters = {}, self.scores[:0], 0
             if self.languages:
@@ -252,9 +252,9 @@ def predict_language(docs: DataFrame, model, vocabulary: str) -> DataFrame:
         import pyarrow as pa
 
         predictor = None
-        for batch in batches:
+        for batch, texts in batches_of_texts(batches, 1):
             predictor = predictor or Predictor(model, vocabulary)
-            found = predictor.predict(batch.column(1).to_pylist())
+            found = predictor.predict(texts)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())],
                 names=["doc_id", "lang_pred", "score"])
@@ -273,9 +273,8 @@ def keep_identified(docs: DataFrame, model, vocabulary: str, least: float = 0.5)
         import pyarrow as pa
 
         predictor = None
-        for batch in batches:
+        for batch, texts in batches_of_texts(batches, at):
             predictor = predictor or Predictor(model, vocabulary)
-            yield batch.filter(pa.array([lang != UNKNOWN and score >= least
-                                         for lang, score in predictor.predict(batch.column(at).to_pylist())], pa.bool_()))
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in predictor.predict(texts)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import settle, small
 
 #: Words and sets that a task compares together; a pair of blocks has up to twice as many.
-LOAD, SETS = 1 << 20, 2048
+LOAD, SETS = 1 << 19, 1024
 #: Rows of an assignment table that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 

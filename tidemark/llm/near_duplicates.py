@@ -18,10 +18,10 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import keyed, settle
+from tidemark.llm.common import batches_of_texts, keyed, settle
 from tidemark.llm.hashing import ShingleSets, mix
 from tidemark.llm.linking import link
-from tidemark.llm.signature_tree import batches_of_texts, labelled, set_key, signature_bits, signatures, texts_of
+from tidemark.llm.signature_tree import labelled, set_key, signature_bits, signatures, texts_of
 
 #: Registers; at 32 bands of 4 a pair of similarity 0.8 is missed with a chance of 5e-8.
 REGISTERS, BAND = 128, 4

@@ -18,16 +18,16 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import settle, small
+from tidemark.llm.common import batches_of_texts, settle, small
 from tidemark.llm.hashing import ShingleSets, mix
 from tidemark.llm.linking import link
 
 #: Children of a node; bits of a signature for each shingle of the largest set, and bits of all signatures of a tree at most.
-FANOUT, BITS, ALL_BITS = 8, 8, 1 << 26
+FANOUT, BITS, ALL_BITS = 8, 8, 1 << 24
 #: 64-bit words of signatures that are compared at once.
 WORDS = 1 << 18
-#: Ratio of the sizes at the ends of a class; rows whose texts a task unpacks together, and their bytes.
-CLASS_RATIO, ROWS, BYTES = 1.25, 1000, 1 << 22
+#: Ratio of the sizes at the ends of a class.
+CLASS_RATIO = 1.25
 #: Rows of an assignment table that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -90,23 +90,6 @@ def set_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, load long, set_key long, routes array<long>")
 
 
-def batches_of_texts(batches: Iterator, column: int) -> Iterator:
-    """Parts of the batches, cut by rows and by bytes of text, with their texts (null: empty)."""
-    import pyarrow.compute as pc
-
-    for whole in batches:
-        sizes = pc.fill_null(pc.binary_length(whole.column(column)), 0).to_numpy()
-        at = 0
-        while at < whole.num_rows:
-            end, size = at + 1, sizes[at]
-            while end < whole.num_rows and end - at < ROWS and size + sizes[end] <= BYTES:
-                size += sizes[end]
-                end += 1
-            part = whole.slice(at, end - at)
-            yield part, [t or "" for t in part.column(column).to_pylist()]
-            at = end
-
-
 def set_key(s):
     """64-bit key of a whole set; none for an empty one."""
     from hashlib import blake2b
