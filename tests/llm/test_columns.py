@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tests.llm import plain
 from tidemark.llm import fingerprints, mixing, secrets, url_filter
 from tidemark.llm import queries as q
-from tidemark.llm.common import settle
+from tidemark.llm.common import keyed, settle
 
 NAMES = ["kept", "found", "todo", "candidate_id", "candidate_rules", "secret_todo", "secret_spans", "row", "given", "row_key", "m_id", "m_size", "m_taken",
          "m_rows", "mix", "best", "prefix", "digest", "shape", "labels", "a.b", "x`y", "size", "draw", "slice", "whole", "hit"]
@@ -94,3 +94,13 @@ def test_tables_of_a_cluster_need_a_shared_folder(spark):
 
     with pytest.raises(ValueError, match="checkpoint"):
         settle(type("Frame", (), {"sparkSession": Session()})())
+
+
+def test_rows_of_files_have_their_place_as_key(spark, tmp_path):
+    spark.createDataFrame([(None, "a"), (None, "a"), (1, "b")] * 4, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/t")
+    docs = spark.read.parquet(f"{tmp_path}/t")
+    rows, key = keyed(docs.where("text is not null"))
+    one, two = ({str(r[key]) for r in rows.select(key).repartition(n).collect()} for n in (1, 4))
+    assert one == two and len(one) == 12 and dict(rows.dtypes)[key].startswith("struct")
+    several, key = keyed(docs.withColumn("n", F.explode(F.array(F.lit(1), F.lit(2)))))
+    assert several.select(key).distinct().count() == 24 and dict(several.dtypes)[key] == "bigint"

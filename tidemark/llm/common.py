@@ -55,11 +55,24 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _is_scan(df: DataFrame) -> bool:
+    """Whether each row of a table is one of a Parquet file: nothing but columns and conditions above one scan."""
+    plan = df._jdf.queryExecution().analyzed().numberedTreeString()
+    nodes = re.findall(r"^\d+ [\s:+-]*(\w+)", plan, re.M)
+    return "_metadata" not in df.columns and nodes[-1:] == ["Relation"] and set(nodes[:-1]) <= {"Project", "Filter"} and " parquet" in plan
+
+
 def keyed(df: DataFrame) -> tuple[DataFrame, str]:
-    """The settled table with an own key for each row, and the name of that column; ids may be null or repeat."""
+    """The table with an own key for each row, the same in every job, and the name of that column; ids may be null or repeat.
+
+    A row of a Parquet file is known by its file and place. Other tables are written with a number for each row first.
+    """
     name = "row_key"
     while name in {c.lower() for c in df.columns}:
         name += "_"
+    if _is_scan(df):
+        place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+        return df.withColumn(name, place), name
     return settle(df.withColumn(name, F.monotonically_increasing_id())), name
 
 
