@@ -61,6 +61,28 @@ def test_sketches_are_small_and_lose_nothing(spark):
     assert {r.n_item for r in rows} == {60} and sum(r.in_sketch for r in rows) == 5 * 13 and {r.need for r in rows} == {1}
 
 
+def test_only_pairs_of_the_sketch_are_verified(spark, monkeypatch):
+    """Items that share most shingles with many documents become no candidates unless their minima are there."""
+    shared, *rest = plain.sentences(6, 13, 20)
+    items = spark.createDataFrame([(i, shared + " " + t) for i, t in enumerate(rest)], ITEMS)  # one passage in all items
+    docs = spark.createDataFrame([(100 + i, shared) for i in range(30)] + [(1, shared + " " + rest[1])], "doc_id long, text string")
+    sketches = decontaminate.settle(decontaminate.item_sketches(items, 5, 0.8))
+    pairs = {(r.doc_id, r.item_id) for r in decontaminate.candidate_pairs(docs, sketches).collect()}
+    assert (1, 1) in pairs and len(pairs) < 31 * 12
+    asked = []
+    search = decontaminate.candidate_pairs
+    monkeypatch.setattr(decontaminate, "candidate_pairs", lambda d, s: asked.append(1) or search(d, s).where("item_id != 1"))
+    assert decontaminate.contained_items(docs, items).count() == 0 and asked
+
+
+def test_copies_of_an_id_and_hot_ids_are_searched_in_parts(spark):
+    one = plain.sentences(8, 1, 40)[0]
+    items = spark.createDataFrame([(None, one)], ITEMS)
+    docs = [(None, " ".join(one.split()[k:k + 9])) for k in range(0, 36, 4)] + [(None, "nothing here to see at all")] * 50 + [(1, one[:60])]
+    got = decontaminate.contained_items(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+    assert [(r.doc_id, r.item_id, r.n_shared, r.n_item) for r in got] == [(None, None, 36, 36)]
+
+
 def test_shuffled_join_gives_the_same(spark, monkeypatch):
     items, docs = spark.createDataFrame(list(enumerate(plain.sentences(3, 5, 30))), ITEMS), list(enumerate(plain.sentences(3, 9, 30)))
     docs = spark.createDataFrame(docs, "doc_id long, text string")
@@ -117,6 +139,14 @@ def test_likeness_follows_similarity(spark):
     assert sum(errors) / len(errors) < 0.05 and max(errors) < 0.2
 
 
+def test_short_texts_agree_by_chance_bin_by_bin(spark):
+    """A text of one shingle fills all bins with copies of one value; unrelated texts still agree in 1 of 16 only."""
+    f = fingerprints.packed_fingerprint
+    pairs = spark.createDataFrame([(f"a{i} b{i} c{i} d{i} e{i}", f"v{i} w{i} x{i} y{i} z{i}") for i in range(300)], "a string, b string")
+    near = [r.near for r in pairs.select(fingerprints.likeness(f(F.col("a")), f(F.col("b"))).alias("near")).collect()]
+    assert max(near) < 0.15 and sum(near) / len(near) < 0.03
+
+
 def test_next_row_is_found_across_ranges(spark):
     ids = [-3000, -1, 0, 5, 255, 256, 257, 70_000, 10**12, 10**12 + 1, 9 * 10**15]
     df = spark.createDataFrame([(i, str(i)) for i in ids], "doc_id long, text string").repartition(3)

@@ -31,7 +31,7 @@ def test_forward_sums_all_segmentations():
     names = sorted({p for i in range(model.get_piece_size())
                     if (p := model.id_to_piece(i).lower()).removeprefix(language.START).isalpha() and len(p) <= 17})
     for words in (["the", "was", "éqx"], ["within", "ñandúe"]):
-        got, _ = language.forward(vocabulary, words, prob)
+        got = language.forward(vocabulary, words, prob)[0]
         for i, w in enumerate(words):
             for k in range(2):
                 own = {n: prob[j, k] for j, n in enumerate(names)}
@@ -96,7 +96,56 @@ def test_language_of_odd_rows(spark):
 
 def test_long_words_count_wholly():
     got = language.words_in("Aa aA " + "b" * 60 + " x²y _ 12")
-    assert got == Counter({"aa": 2, "b" * 24: 2, "b" * 12: 1, "xy": 1})
+    assert got == Counter({"aa": 2, "b" * 60: 1, "xy": 1})
+
+
+def _log_sums(own, word):
+    """Log probability of a word over all ways to cut it, with exact fractions, prefix by prefix."""
+    import math
+    from fractions import Fraction
+
+    sums = [Fraction(1)]
+    for end in range(1, len(word) + 1):
+        sums.append(sums[-1] * Fraction(language.FLOOR) + sum(
+            sums[end - k] * Fraction(own[word[end - k:end]]) for k in range(1, min(end, 17) + 1) if word[end - k:end] in own))
+    return math.log(sums[-1].numerator) - math.log(sums[-1].denominator)
+
+
+def test_runs_without_spaces_are_scored_whole():
+    """No cut, and no loss of precision where the probability is far below the smallest double."""
+    import numpy as np
+    import sentencepiece
+
+    vocabulary = language.Pieces(pieces)
+    prob = np.random.default_rng(5).dirichlet(np.ones(vocabulary.n), 2).T
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces)
+    names = sorted({p for i in range(model.get_piece_size())
+                    if (p := model.id_to_piece(i).lower()).removeprefix(language.START).isalpha() and len(p) <= 17})
+    run = "thehouseandthetreewerehereyesterday"
+    for word in (run[:16], run[:17], run[:18], run, run * 6, "語" * 120):
+        got = language.forward(vocabulary, [word, word[::-1]], prob)[0]
+        for k in range(2):
+            own = {n: prob[j, k] for j, n in enumerate(names)}
+            assert got[0, k] == pytest.approx(_log_sums(own, language.START + word), rel=1e-9)
+            assert got[1, k] == pytest.approx(_log_sums(own, language.START + word[::-1]), rel=1e-9)
+    # The expected uses of all pieces of a run cover its characters and its mark, but for those that stand for themselves.
+    lengths = np.array([len(n) for n in names])
+    counts = language.expected_counts(vocabulary, [run * 6], np.ones(1), prob[:, 0])
+    assert counts @ lengths == pytest.approx(6 * len(run) + 1, rel=1e-2)
+
+
+def test_predictions_equal_plain_ones(spark):
+    """Whole texts, words, repeated and long ones, under the fitted model: language and posterior."""
+    import numpy as np
+
+    texts = [t.replace("t", "wo") for t in plain.sentences(2, 8, 12)] + ["the house the house" + "andthetree" * 9, "une maison, deux MAISONS"]
+    df = spark.createDataFrame([(i, t, ("en", "fr")[i % 2]) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    languages, prob = model = language.fit(df, pieces)
+    vocabulary = language.Pieces(pieces)
+    for r in language.predict_language(df, model, pieces).collect():
+        total = sum(n * language.forward(vocabulary, [w], prob)[0][0] for w, n in language.words_in(texts[r.doc_id]).items())
+        assert r.lang_pred == languages[int(total.argmax())]
+        assert r.score == pytest.approx(1 / np.exp(total - total.max()).sum(), rel=1e-3)
 
 
 def test_held_out_is_by_checksum(spark, tmp_path):

@@ -18,6 +18,8 @@ from tidemark.llm.common import keyed, settle, small
 
 #: Item shingles that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Parts of the rows of one document id.
+SALTS = 8
 
 
 def _words(text: Column) -> Column:
@@ -46,35 +48,58 @@ def item_sketches(items: DataFrame, width: int, threshold: float) -> DataFrame:
             .select("item_id", "width", "shingle", "n_item", "part", "need", (F.col("nth") <= F.col("sketch")).alias("in_sketch")))
 
 
+def _held(docs: DataFrame, shingles: DataFrame) -> DataFrame:
+    """Distinct (doc_id, width, shingle) of the documents' shingles that stand in ``shingles`` (settled: width, shingle, ...)."""
+    widths = [r.width for r in shingles.select("width").distinct().collect()]  # at most as many as a shingle has words
+    known = small(shingles.select(F.xxhash64("width", "shingle").alias("h")).distinct(), BROADCAST_ROWS)
+    words = docs.select("doc_id", _words(F.coalesce("text", F.lit(""))).alias("w"))
+    found = words.where("false").select("doc_id", F.lit(0).alias("width"), F.lit("").alias("shingle"))
+    for n in widths:
+        # Exploding positions, not shingles, keeps the hashing in generated code; only known shingles become strings.
+        shingle = F.concat_ws(" ", *(F.get("w", F.col("i") + k) for k in range(n)))
+        places = (words.where(F.size("w") >= n).select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - n)).alias("i"))
+                  .withColumn("h", F.xxhash64(F.lit(n), shingle)).join(known, "h", "left_semi")
+                  .select("doc_id", F.lit(n).alias("width"), shingle.alias("shingle")))
+        found = places if n == widths[0] else found.unionByName(places)
+    return found.distinct()
+
+
+def candidate_pairs(docs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(doc_id, item_id) of the documents that hold enough of an item's minima for its size partition.
+
+    ``sketches`` is the settled table of ``item_sketches``; only its rows in a sketch are looked up.
+    """
+    minima = sketches.where("in_sketch")
+    return (_held(docs, minima).join(small(minima, BROADCAST_ROWS), ["width", "shingle"])
+            .groupBy("doc_id", "item_id").agg(F.count("*").alias("minima"), F.first("need").alias("need"))
+            .where("minima >= need").select("doc_id", "item_id"))
+
+
 def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item, containment) for each item whose containment in a document is at least ``threshold``.
 
+    Sketches propose pairs; only documents of a proposed pair are read again, and only proposed pairs are compared in full.
     Null and empty texts contain nothing and are contained in nothing. Rows that repeat a document id are one document
     with the shingles of all of them; rows without an id are searched as one more document with a null id. Other columns
     are not read. Empty tables give an empty result.
     """
     sketches = settle(item_sketches(items, width, threshold))
-    widths = [r.width for r in sketches.select("width").distinct().collect()]  # at most ``width`` rows
-    known = small(sketches.select(F.xxhash64("width", "shingle").alias("h")).distinct(), BROADCAST_ROWS)
-    words = docs.select("doc_id", _words(F.coalesce("text", F.lit(""))).alias("w"))
-    found = None
-    for n in widths:
-        # Exploding positions, not shingles, keeps the hashing in generated code; only known shingles become strings.
-        places = (words.where(F.size("w") >= n).select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - n)).alias("i"))
-                  .withColumn("h", F.xxhash64(F.lit(n), F.concat_ws(" ", *(F.get("w", F.col("i") + k) for k in range(n)))))
-                  .join(known, "h", "left_semi")
-                  .select("doc_id", F.lit(n).alias("width"), F.concat_ws(" ", *(F.get("w", F.col("i") + k) for k in range(n))).alias("shingle")))
-        found = places if found is None else found.unionByName(places)
-    if found is None:
-        found = words.where("false").select("doc_id", F.lit(0).alias("width"), F.lit("").alias("shingle"))
-    return (found.distinct().join(small(sketches, BROADCAST_ROWS), ["width", "shingle"])
-            .groupBy("doc_id", "item_id")
-            .agg(F.count("*").alias("n_shared"), F.sum(F.col("in_sketch").cast("int")).alias("minima"),
-                 F.first("n_item").alias("n_item"), F.first("need").alias("need"))
-            .where(F.col("minima") >= F.col("need"))
+    pairs = settle(candidate_pairs(docs, sketches))
+    # Rows of one id may be many: they are told apart by a salt of their text.
+    salt = F.pmod(F.xxhash64("text"), F.lit(SALTS))
+    wanted = settle(pairs.select(F.col("doc_id").alias("c_id")).distinct()
+                    .withColumn("c_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))))
+    texts = docs.select("doc_id", "text", salt.alias("salt")).join(
+        small(wanted, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("salt") == F.col("c_salt")), "left_semi")
+    held = _held(texts, sketches)
+    asked = (pairs.select(F.col("doc_id").alias("c_id"), F.col("item_id").alias("c_item"))
+             .join(small(sketches, BROADCAST_ROWS), F.col("c_item").eqNullSafe(F.col("item_id")))
+             .select("c_id", "item_id", F.col("width").alias("c_width"), F.col("shingle").alias("c_shingle"), "n_item"))
+    same = F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("width") == F.col("c_width")) & (F.col("shingle") == F.col("c_shingle"))
+    return (held.join(asked, same).groupBy("doc_id", "item_id")
+            .agg(F.count("*").alias("n_shared"), F.first("n_item").alias("n_item"))
             .withColumn("containment", F.col("n_shared") / F.col("n_item"))
-            .where(F.col("n_shared") + 1e-9 >= threshold * F.col("n_item"))
-            .select("doc_id", "item_id", "n_shared", "n_item", "containment"))
+            .where(F.col("n_shared") + 1e-9 >= threshold * F.col("n_item")))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:

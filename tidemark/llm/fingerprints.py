@@ -2,7 +2,8 @@
 
 Each shingle is hashed once; its top bits choose a bin and the smallest hash of a bin represents it. An empty bin takes
 the value of another, found by probing bins in an order that depends on the bin alone until one is filled, which keeps
-the chance that two texts agree in the bin equal to their similarity. Four low bits of each bin are kept.
+the chance that two texts agree in the bin equal to their similarity. A taken value is hashed with the number of the bin
+that takes it, so that the low bits of its copies agree by chance independently. Four low bits of each bin are kept.
 """
 
 from __future__ import annotations
@@ -53,9 +54,9 @@ def _densified(minima: Column) -> Column:
     def spread(bins: Column) -> Column:
         own = F.transform(numbers, lambda i: F.get(minima, F.array_position(bins, i).cast("int") - 1))
         return let(own, lambda v: F.transform(numbers, lambda i: F.coalesce(
-            F.get(v, i), *(F.get(v, F.get(p, i)) for p in probes),
-            F.get(F.filter(F.transform(numbers, lambda t: F.get(v, (i + (t + 1) * F.get(steps, i)) % BINS)),
-                           lambda x: x.isNotNull()), F.lit(0)))))
+            F.get(v, i), F.xxhash64(i, F.coalesce(*(F.get(v, F.get(p, i)) for p in probes), F.get(
+                F.filter(F.transform(numbers, lambda t: F.get(v, (i + (t + 1) * F.get(steps, i)) % BINS)),
+                         lambda x: x.isNotNull()), F.lit(0)))))))
 
     return let(F.transform(minima, _bin), spread)
 

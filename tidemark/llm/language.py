@@ -20,9 +20,10 @@ UNKNOWN = "und"
 #: Distinct texts of each language that the model is fitted on (about: a draw by hash), and rounds of fitting.
 TRAIN_DOCS = 400
 ROUNDS = 3
-#: Characters after which a word is cut for scoring, and words scored together.
-LONGEST_WORD = 24
-CHUNK = 5000
+#: Words scored together, and characters of them.
+CHUNK, CHUNK_CHARACTERS = 5000, 200_000
+#: Longest piece, its mark included; no segmentation reaches further back.
+REACH = 17
 #: Words whose scores a task remembers, and characters of them; when it has more it starts anew.
 DICTIONARY, CHARACTERS = 200_000, 1 << 22
 #: Probability of a character that no piece covers; share of all counts spread over pieces not seen.
@@ -33,14 +34,12 @@ LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def words_in(text: str) -> Counter:
-    """Lower-case words (runs of letters) of a text with their frequencies, long ones cut."""
+    """Lower-case words (runs of letters of any length) of a text with their frequencies."""
     found = Counter(LETTERS.findall(text.lower()))
-    odd = [w for w in found if len(w) > LONGEST_WORD or not w.isalpha()]
-    for w in odd:
+    for w in [w for w in found if not w.isalpha()]:
         n = found.pop(w)
-        w = "".join(c for c in w if c.isalpha())
-        for i in range(0, len(w), LONGEST_WORD):
-            found[w[i:i + LONGEST_WORD]] += n
+        if letters := "".join(c for c in w if c.isalpha()):
+            found[letters] += n
     return found
 
 
@@ -53,7 +52,7 @@ class Pieces:
 
         model = sentencepiece.SentencePieceProcessor(model_file=vocabulary)
         own = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
-        own = sorted(p for p in own if p.removeprefix(START).isalpha() and len(p) <= 17)
+        own = sorted(p for p in own if p.removeprefix(START).isalpha() and len(p) <= REACH)
         self.n = len(own)
         self.base = np.uint64(0x9E3779B97F4A7C15 | 1)
         self.by_length = {}
@@ -67,67 +66,86 @@ class Pieces:
             self.by_length[size] = h[order], np.array(ids)[order]
 
     def edges(self, words: list[str]):
-        """For words of one length: yields (start, end, rows, piece ids) of all pieces that stand in them."""
+        """For words of one length: yields (start, end, rows, piece ids) of all pieces that stand in them, by rising end."""
         import numpy as np
 
         length = len(words[0]) + 1
         codes = np.frombuffer("".join(START + w for w in words).encode("utf-32-le"), np.uint32).reshape(-1, length)
-        prefix = np.zeros((len(words), length + 1), np.uint64)
+        prefix = np.zeros((length + 1, len(words)), np.uint64)
         for i in range(length):
-            prefix[:, i + 1] = prefix[:, i] * self.base + codes[:, i]
+            prefix[i + 1] = prefix[i] * self.base + codes[:, i]
+        found, power, last = [], 1, 0
+        for size in self.by_length:
+            if size > length:
+                break
+            power, last = power * pow(int(self.base), size - last, 2**64) % 2**64, size
+            keys, ids = self.by_length[size]
+            h = prefix[size:] - prefix[:-size] * np.uint64(power)
+            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            starts, rows = np.nonzero(keys[at] == h)
+            if len(rows):
+                bounds = np.searchsorted(starts, np.arange(length + 2 - size))
+                found.append((size, bounds.tolist(), rows, ids[at[starts, rows]]))
         for end in range(1, length + 1):
-            power = np.uint64(1)
-            for size in range(1, end + 1):
-                power = np.uint64(int(power) * int(self.base) % 2**64)
-                if size not in self.by_length:
-                    continue
-                keys, ids = self.by_length[size]
-                h = prefix[:, end] - prefix[:, end - size] * power
-                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                rows = np.flatnonzero(keys[at] == h)
-                if len(rows):
-                    yield end - size, end, rows, ids[at[rows]]
+            for size, bounds, rows, ids in found:
+                if size <= end and bounds[end - size] < bounds[end - size + 1]:
+                    of = slice(bounds[end - size], bounds[end - size + 1])
+                    yield end - size, end, rows[of], ids[of]
 
 
 def forward(pieces: Pieces, words: list[str], prob):
-    """Log probability (words x languages) of words of one length under ``prob`` (pieces x languages)."""
+    """Log probabilities of words of one length under ``prob`` (pieces x languages), and of all their prefixes.
+
+    Sums of the last columns are brought back to 1 now and then, so that words of any length keep their precision:
+    the logarithm of a prefix's probability is that of its sum plus its shift.
+    """
     import numpy as np
 
     length = len(words[0]) + 1
     alpha = np.zeros((length + 1, len(words), prob.shape[1]))
+    shift = np.zeros_like(alpha) if length > REACH else None
     alpha[0] = 1
+
+    def step(end: int) -> None:
+        if end > REACH and end % REACH == 1:
+            unit = alpha[end - 1].copy()
+            alpha[end - REACH:end] /= unit
+            shift[end - REACH:end] += np.log(unit)
+        if shift is not None:
+            shift[end] = shift[end - 1]
+        alpha[end] += alpha[end - 1] * FLOOR  # a character may always stand for itself
+
     done = 0
     for start, end, rows, ids in pieces.edges(words):
-        while done < end:  # a character may always stand for itself
+        while done < end:
             done += 1
-            alpha[done] += alpha[done - 1] * FLOOR
+            step(done)
         alpha[end, rows] += alpha[start, rows] * prob[ids]
     while done < length:
         done += 1
-        alpha[done] += alpha[done - 1] * FLOOR
-    return np.log(alpha[length]), alpha
+        step(done)
+    return (np.log(alpha[length]) if shift is None else np.log(alpha[length]) + shift[length]), alpha, shift
 
 
 def expected_counts(pieces: Pieces, words: list[str], weights, prob):
     """Expected uses of each piece in words of one length under one language's ``prob``, times the words' weights."""
     import numpy as np
 
-    _, alpha = forward(pieces, words, prob[:, None])
-    alpha = alpha[:, :, 0]
-    length = alpha.shape[0] - 1
-    found = list(pieces.edges(words))
-    beta = np.zeros_like(alpha)
-    beta[length] = 1
+    total, alpha, shift = forward(pieces, words, prob[:, None])
+    before = np.log(alpha[:, :, 0]) + (0 if shift is None else shift[:, :, 0])
+    length = len(before) - 1
+    after = np.zeros_like(before)  # log probabilities of the suffixes
     counts = np.zeros(pieces.n)
-    by_end: dict[int, list] = {}
-    for e in found:
-        by_end.setdefault(e[1], []).append(e)
-    for end in range(length, 0, -1):
-        beta[end - 1] += beta[end] * FLOOR
-        for start, _, rows, ids in by_end.get(end, ()):
-            step = prob[ids] * beta[end, rows]
-            beta[start, rows] += step
-            np.add.at(counts, ids, weights[rows] * alpha[start, rows] * step / alpha[length, rows])
+    by_start: dict[int, list] = {}
+    for e in pieces.edges(words):
+        by_start.setdefault(e[0], []).append(e)
+    for start in range(length - 1, -1, -1):
+        grown = np.full(len(words), FLOOR)  # relative to the suffix that is a character shorter
+        for _, end, rows, ids in by_start.get(start, ()):
+            grown[rows] += prob[ids] * np.exp(after[end, rows] - after[start + 1, rows])
+        after[start] = after[start + 1] + np.log(grown)
+        for _, end, rows, ids in by_start.get(start, ()):
+            np.add.at(counts, ids, weights[rows] * prob[ids] * np.exp(before[start, rows] + after[end, rows] - total[rows, 0]))
     return counts
 
 
@@ -148,7 +166,7 @@ def fit(labelled: DataFrame, vocabulary: str, train_docs: int = TRAIN_DOCS, roun
     if not languages:
         return [], np.zeros((pieces.n, 0))
     rate = F.create_map(*(F.lit(x) for lang in languages for x in (lang, min(1.0, train_docs / sizes[lang]))))
-    drawn = rows.where(F.pmod("key", F.lit(1 << 20)) < F.element_at(rate, F.col("lang")) * (1 << 20))
+    drawn = rows.where(F.col("key") / 2.0**64 + 0.5 < F.element_at(rate, F.col("lang")))
 
     def split(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -207,8 +225,9 @@ class Predictor:
         for w in words:
             by_length.setdefault(len(w), []).append(w)
         for same in by_length.values():
-            for i in range(0, len(same), CHUNK):
-                chunk = same[i:i + CHUNK]
+            size = max(1, min(CHUNK, CHUNK_CHARACTERS // len(same[0])))
+            for i in range(0, len(same), size):
+                chunk = same[i:i + size]
                 low, high = len(self.place), len(self.place) + len(chunk)
                 self.place.update(zip(chunk, range(low, high), strict=True))
                 self.characters += len(chunk) * len(chunk[0])
