@@ -36,7 +36,7 @@ def _all_baselines(spark, sf):
 
 
 @query(S.q(_CMP, "SELECT env, h, model_a, model_b, n_series, n_a_lower, " + S.rs(
-    "a_p50", "b_p50", "diff_p50", "delta_of_medians", "statistic", "z", "p", "p_holm") + ", significant, better FROM cmpm"))
+    "a_p50", "b_p50", "diff_p50", "delta_of_medians", "statistic", "z", "p", "p_holm") + ", p_from, significant, better FROM cmpm"))
 def model_comparison(spark, sf):
     return rounded(H.compare_models(_all_baselines(spark, sf), list(BASELINES)))
 
@@ -119,7 +119,7 @@ _TEST_COLS = ("n_series", "n_a_lower")
 
 
 def _test_select(keys: str, src: str, extra: str, effect: str, neg: str, pos: str) -> str:
-    return (f"SELECT {keys}, n_series, n_a_lower, " + S.rs("a_p50", "b_p50", "diff_p50", "statistic", "z", "p", "p_holm")
+    return (f"SELECT {keys}, n_series, n_a_lower, p_from, " + S.rs("a_p50", "b_p50", "diff_p50", "statistic", "z", "p", "p_holm")
             + f"{extra}, coalesce(p_holm < 0.05, FALSE) AS significant, " + S.verdict(effect, neg, pos) + f" FROM {src}")
 
 
@@ -186,7 +186,7 @@ LOSS_TEST = [*LOSS, "lx AS (SELECT *, mae AS a, mae_diagonal AS b FROM loss)", S
 
 
 @query(S.q(LOSS_TEST, f"SELECT {_TK}, n_series, n_a_lower, " + S.rs(
-    "a_p50", "b_p50", "diff_p50", "statistic", "z", "p", "p_holm", "loss_p50") + ", significant, verdict FROM lt"))
+    "a_p50", "b_p50", "diff_p50", "statistic", "z", "p", "p_holm", "loss_p50") + ", p_from, significant, verdict FROM lt"))
 def transfer_vs_own(spark, sf):
     return rounded(H.transfer_vs_diagonal(_loss(spark, sf)))
 

@@ -198,6 +198,14 @@ def holm(src: str, family: str, name: str) -> str:
         f" AND CURRENT ROW)) AS p_holm FROM {name}_s)")
 
 
+def signed_rank(n: str, statistic: str) -> str:
+    """Exact two-sided signed-rank tail: sign patterns counted by rank sum, one rank joining at a time."""
+    counts = (f"list_reduce(list_concat([[1.0::DOUBLE]], list_transform(range(1, {n} + 1), lambda k: [k::DOUBLE])),"
+              " lambda f, k: list_transform(range(0, len(f) + k[1]::BIGINT), lambda s: coalesce(f[s + 1], 0)"
+              " + CASE WHEN s >= k[1] THEN f[s + 1 - k[1]::BIGINT] ELSE 0 END))")
+    return f"least(1.0, 2 * list_sum(list_slice({counts}, 1, floor({statistic})::BIGINT + 1)) / pow(2.0, {n}))"
+
+
 def wilcoxon(src: str, keys: str, name: str) -> str:
     """Signed-rank test of a against b from one row per series."""
     using = keys
@@ -211,11 +219,15 @@ def wilcoxon(src: str, keys: str, name: str) -> str:
         f"{name}_g AS (SELECT {keys}, count(*) AS n_series, count(*) FILTER (diff < 0) AS n_a_lower,"
         " max(abs(diff)) AS largest, median(a) AS a_p50, median(b) AS b_p50, median(diff) AS diff_p50"
         f" FROM {name}_d GROUP BY {keys}), "
-        f"{name}_z AS (SELECT g.*, CASE WHEN largest > 1e-8 THEN least(wp, wm) END AS statistic,"
+        f"{name}_z AS (SELECT g.*, n <= 50 AND n = n_series AND tie = 0 AS exact,"
+        " CASE WHEN largest > 1e-8 THEN least(wp, wm) END AS statistic,"
         " CASE WHEN largest > 1e-8 THEN (least(wp, wm) - n * (n + 1) / 4.0)"
         " / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - tie / 48.0) END AS z"
         f" FROM {name}_g g LEFT JOIN {name}_w w USING ({using})), "
-        f"{name} AS (SELECT *, CASE WHEN largest <= 1e-8 THEN 1.0 ELSE {tail('z')} END AS p FROM {name}_z)")
+        f"{name} AS (SELECT *, CASE WHEN largest <= 1e-8 THEN 1.0 WHEN exact THEN"
+        f" {signed_rank('CASE WHEN exact THEN n_series ELSE 0 END', 'statistic')} ELSE {tail('z')} END AS p,"
+        " CASE WHEN largest <= 1e-8 THEN 'equal' WHEN exact THEN 'exact' ELSE 'normal' END AS p_from"
+        f" FROM {name}_z)")
 
 
 def mann_whitney(src: str, keys: str, name: str) -> str:

@@ -207,3 +207,25 @@ def test_run_comparison_shows_rows_of_one_side(spark):
     got = {r.k: (r.first, r.second, r.change) for r in C.compare_runs(a, b, ["k"], "v").select(
         "k", "first", "second", "change").toPandas().astype(object).where(lambda d: d.notna(), None).itertuples()}
     assert got == {"x": (1.0, 1.5, 0.5), "y": (2.0, None, None), "z": (None, 3.0, None)}
+
+
+def test_small_signed_rank_samples_are_exact(spark):
+    """Counted by hand: with n pairs there are 2 ** n sign patterns; few of them reach a small rank sum."""
+    def rows(k, signs):
+        return [(k, float(i * s), 0.0) for i, s in enumerate(signs, 1)]
+
+    data = (rows("all up", [1] * 10)                   # only the empty set has the sum 0: 2 * 1 / 1024
+            + rows("sum 3", [-1, -1] + [1] * 8)        # {}, 1, 2, 3, 1+2: 2 * 5 / 1024
+            + rows("sum 4", [1, 1, 1, -1] + [1] * 16)  # further 4, 1+3: 2 * 7 / 2 ** 20
+            + rows("even", [1, 1, -1, 1, -1, -1, 1])   # 14 of 28 each way: capped at 1
+            + rows("tied", [1] * 10) + [("tied", -10.0, 0.0)]
+            + rows("zero", [1] * 10) + [("zero", 0.0, 0.0)]
+            + rows("at the limit", [1] * 50) + rows("large", [1] * 51)
+            + [("same", 1.0, 1.0)] * 5)
+    got = {r.k: r for r in H.wilcoxon(spark.createDataFrame(data, PAIRS), ["k"]).collect()}
+    want = {"all up": 2 / 1024, "sum 3": 10 / 1024, "sum 4": 14 / 2**20, "even": 1.0, "at the limit": 2 / 2**50}
+    for k, p in want.items():
+        assert got[k].p_from == "exact" and got[k].p == pytest.approx(p, rel=1e-12)
+    assert {k: got[k].p_from for k in ("tied", "zero", "large", "same")} == {
+        "tied": "normal", "zero": "normal", "large": "normal", "same": "equal"}
+    assert 0.001 < got["tied"].p < 0.05 and got["same"].p == 1.0

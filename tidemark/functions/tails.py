@@ -1,4 +1,4 @@
-"""Tail probabilities Spark SQL has no function for, as Arrow-batched UDFs.
+"""Tail probabilities Spark SQL has no function for: Arrow-batched UDFs and, for small samples, exact counts.
 
 They only ever see one row per statistical test.
 """
@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,3 +44,16 @@ def two_sided_student(t: pd.Series, df: pd.Series) -> pd.Series:
         None if pd.isna(v) or pd.isna(k) or k < 1 else _t_two_sided(float(v), float(k))
         for v, k in zip(t, df)
     ], dtype="float64")
+
+
+def two_sided_signed_rank(n: Column, statistic: Column) -> Column:
+    """Twice the chance, at most 1, that the smaller rank sum of ``n`` untied differences is at most ``statistic``.
+
+    Counts the sign patterns of each rank sum, a rank after the other: 2 ** n patterns in all, so doubles hold the counts
+    exactly up to n = 53.
+    """
+    zero = F.lit(0.0)
+    counts = F.aggregate(F.sequence(F.lit(1), n.cast("int")), F.array(F.lit(1.0)), lambda f, k: F.transform(
+        F.sequence(F.lit(0), F.size(f) + k - 1), lambda s: F.coalesce(F.get(f, s), zero) + F.coalesce(F.get(f, s - k), zero)))
+    below = F.aggregate(F.slice(counts, F.lit(1), F.floor(statistic).cast("int") + 1), zero, lambda total, x: total + x)
+    return F.least(F.lit(1.0), 2 * below / F.pow(F.lit(2.0), n))

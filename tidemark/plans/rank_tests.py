@@ -1,9 +1,9 @@
 """Non-parametric tests over series, with Holm correction and verdicts.
 
 Ranks come from ``value_ranks`` and medians from ``quantiles``, which spread a
-comparison over many tasks when it has many series.  P-values use the normal
-approximation: Wilcoxon with tie correction, Mann-Whitney also with continuity
-correction.
+comparison over many tasks when it has many series.  The signed-rank test of a small
+sample without ties or zeros is exact; other p-values use the normal approximation:
+Wilcoxon with tie correction, Mann-Whitney also with continuity correction.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.ordered import is_small, keep, medians, quantiles, value_ranks
 from tidemark.functions.scalar import correlation, median_of, safe_div
-from tidemark.functions.tails import two_sided_normal, two_sided_student
+from tidemark.functions.tails import two_sided_normal, two_sided_signed_rank, two_sided_student
 
 ALPHA = 0.05
 # Differences this small count as no difference at all.
@@ -21,13 +21,17 @@ ALL_EQUAL = 1e-8
 # Ranked values are rounded first: a mean summed in another partition order differs in its
 # last bits, and without rounding that noise would break mathematical ties at random.
 TIE_DIGITS = 9
+# Pairs up to which the signed-rank test uses the exact distribution.
+EXACT_PAIRS = 50
 
 
 def wilcoxon(pairs: DataFrame, keys: list[str], small: bool | None = None) -> DataFrame:
     """Signed-rank test of ``a`` against ``b`` per key; one input row per series.
 
     ``diff_p50`` is the median of the differences, which alone gives the test its
-    direction: the difference of the medians can have the other sign.
+    direction: the difference of the medians can have the other sign. ``p_from`` names the
+    source of the p-value: ``exact`` for at most ``EXACT_PAIRS`` pairs without zero or tied
+    differences, ``equal`` (p = 1) if all are zero, else ``normal``.
     """
     d = keep(pairs.where(F.col("a").isNotNull() & F.col("b").isNotNull())
              .withColumn("diff", F.round(F.col("a") - F.col("b"), TIE_DIGITS)))
@@ -51,12 +55,16 @@ def wilcoxon(pairs: DataFrame, keys: list[str], small: bool | None = None) -> Da
     sums = sums.withColumn("statistic", statistic).withColumn(
         "z", safe_div(statistic - n * (n + 1) / 4, F.sqrt(var)))
     same = F.col("_largest") <= ALL_EQUAL
-    out = size.join(middle, keys).join(sums.select(*keys, "statistic", "z"), keys, "left")
+    out = size.join(middle, keys).join(sums.select(*keys, "statistic", "z", "_n", "_ties"), keys, "left")
+    exact = (F.col("n_series") <= EXACT_PAIRS) & (F.col("_n") == F.col("n_series")) & (F.col("_ties") == 0)
     return (
         out.withColumn("statistic", F.when(~same, F.col("statistic")))
         .withColumn("z", F.when(~same, F.col("z")))
-        .withColumn("p", F.when(same, F.lit(1.0)).otherwise(two_sided_normal("z")))
-        .drop("_largest")
+        .withColumn("p_from", F.when(same, "equal").when(exact, "exact").otherwise("normal"))
+        .withColumn("p", F.when(F.col("p_from") == "equal", F.lit(1.0))
+                    .when(F.col("p_from") == "exact", two_sided_signed_rank(F.col("n_series"), F.col("statistic")))
+                    .otherwise(two_sided_normal("z")))
+        .drop("_largest", "_n", "_ties")
     )
 
 
