@@ -120,4 +120,5 @@ def without_leaks(docs: DataFrame, items: DataFrame, width: int = 5, threshold:
     items_, item_key = keyed(items.select("text"))
     leaks = contained_items(docs_.select(F.col(key).alias("doc_id"), "text"), items_.select(F.col(item_key).alias("item_id"), "text"),
                             width, threshold)
-    return docs_.join(leaks.select(F.col("doc_id").alias(key)).distinct(), key, "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    gone = small(settle(leaks.select(F.col("doc_id").alias(key)).distinct()), BROADCAST_ROWS)
+    return docs_.join(gone, key, "left_anti").select(*(f"`{c}`" for c in docs.columns))
