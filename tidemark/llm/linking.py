@@ -113,13 +113,26 @@ def _links(rows: DataFrame, data: DataFrame, forest: Forest) -> DataFrame:
     return data.join(small(rows, BROADCAST_ROWS), "set_key").groupBy(*GROUP).applyInArrow(run, "a long, b long")
 
 
-def _by_cluster(rows: DataFrame, data: DataFrame, labels: DataFrame, forest: Forest) -> tuple[DataFrame, DataFrame]:
+def _sieved(rows: DataFrame, sketches: DataFrame | None, sieve: Forest | None) -> DataFrame:
+    """The settled rows (GROUP, side, set_key, label) that ``sieve`` keeps, all without one."""
+    if sieve is None:
+        return rows
+
+    def run(table):
+        return table.take(sieve(table.column("label").to_numpy(), table.column("side").to_numpy(), table)).drop_columns(["sketch", "n_shingles"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return settle(sketches.select("set_key", "sketch", "n_shingles").join(small(rows, BROADCAST_ROWS), "set_key")
+                  .select(*rows.columns, "sketch", "n_shingles").groupBy(*GROUP).applyInArrow(run, kinds))
+
+
+def _by_cluster(rows: DataFrame, data: DataFrame, labels: DataFrame, forest: Forest, sift: Callable) -> tuple[DataFrame, DataFrame]:
     """Labels after comparing the sets of a cluster, by blocks where it is large; and the rows (cluster, set_key, load) that are to meet again."""
     sized = _with_totals(rows, "cluster")
     placed = _together(sized, "cluster").withColumn("block", F.pmod(F.xxhash64("set_key", "total"), "blocks"))
     named = placed.join(labels.withColumnRenamed("node", "set_key"), "set_key")
-    labels = merged(labels, _links(settle(named.select(
-        "level", "slot", F.col("block").alias("low"), F.col("block").alias("high"), F.lit(0).alias("side"), "set_key", "label")), data, forest))
+    labels = merged(labels, _links(sift(settle(named.select(
+        "level", "slot", F.col("block").alias("low"), F.col("block").alias("high"), F.lit(0).alias("side"), "set_key", "label"))), data, forest))
     large = sized.where("blocks > 1")
     if large.isEmpty():
         return labels, large
@@ -161,24 +174,20 @@ def _open_rows(members: DataFrame, loads: DataFrame, labels: DataFrame) -> DataF
 def link(members: DataFrame, data: DataFrame, forest: Forest, sieve: Forest | None = None, sketches: DataFrame | None = None) -> DataFrame:
     """Labels (node, label) of the sets of ``members`` (route, set_key, lead: the route's smallest set).
 
-    ``data`` has the columns that ``forest`` compares and load, its words, by set_key. ``sieve`` may drop the sets of open
-    groups that ``sketches`` show to have no partner there, before their data are sent; it returns the places of those that stay.
+    ``data`` has the columns that ``forest`` compares and load, its words, by set_key. ``sieve`` may drop the sets of a
+    group that ``sketches`` show to have no partner there, before their data are sent; it returns the places of those that stay.
     """
+    def sift(rows: DataFrame) -> DataFrame:
+        return _sieved(rows, sketches, sieve)
+
     loads = settle(data.select("set_key", "load"))
     clusters = settle(members.groupBy("set_key").agg(F.min("lead").alias("cluster")).join(loads, "set_key"))
     labels = clusters.select(F.col("set_key").alias("node"), F.col("set_key").alias("label"))
     n = None
     while n is None or n > 0:
-        labels, clusters = _by_cluster(clusters, data, labels, forest)
+        labels, clusters = _by_cluster(clusters, data, labels, forest, sift)
         last, n = n, clusters.count()
         if last is not None and n > 0.7 * last:  # more rounds would not help; what follows is complete in any case
             break
     rows = _open_rows(members, loads, labels)
-    if sieve is not None:
-        def run(table):
-            return table.take(sieve(table.column("label").to_numpy(), table.column("side").to_numpy(), table)).drop_columns(["sketch", "n_shingles"])
-
-        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-        rows = settle(sketches.select("set_key", "sketch", "n_shingles").join(small(rows, BROADCAST_ROWS), "set_key")
-                      .select(*rows.columns, "sketch", "n_shingles").groupBy(*GROUP).applyInArrow(run, kinds))
-    return merged(labels, _links(rows, data, forest))
+    return merged(labels, _links(sift(rows), data, forest))
