@@ -1,8 +1,8 @@
 """Learned models: within an environment, across environments, cross-validated.
 
-One-feature linear models have a closed form in SQL, so the whole path from fit
-rows to per-series metrics is checked with them; full models are checked in the
-unit tests and run here as they are.
+Linear models are solved in SQL as well, by elimination, so the whole path from fit
+rows to per-series metrics is checked with all features; trees and kernel models are
+checked in the unit tests and run here as they are.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from checks import sql as S
 from checks.fleets import ALL, each, grid, rounded
-from checks.queries_series import _ROWS, BURST, STRATA, _groups
+from checks.queries_series import _GROUPS, _ROWS, BURST, STRATA, _groups
 from checks.registry import query
 from tidemark.functions.ordered import keep
 from tidemark.operators import normalize as N
@@ -57,11 +57,12 @@ def linear_and_ridge_all_features(spark, sf):
         _within_matrix(spark, sf, e), SPECS[e], {"lr": {}, "ridge": {"alpha": 10.0}})))
 
 
-def _cv_sql() -> str:
+def _cv_ctes() -> list[str]:
+    """``sc`` and ``nt``: score and rows of each penalty, fleet, horizon and fold; ``al`` has the penalties."""
     alphas = "(0, 0.01), (1, 0.1), (2, 1.0), (3, 10.0), (4, 100.0)"
     folds = ", ".join(f"('{e}', {f}, {a}, {b})" for e in ALL for f, a, b in SPECS[e].fold_bounds)
-    return S.q([
-        *S.base(), *S.frame(),
+    return [
+        *S.base(), S.scale(), *S.frame(),
         f"fb AS (SELECT * FROM (VALUES {folds}) t(env, fold, te, ve))",
         f"al AS (SELECT pos, CAST(alpha AS DOUBLE) AS alpha FROM (VALUES {alphas}) t(pos, alpha))",
         "fitted AS (SELECT m.*, fold, pos, alpha FROM mat m JOIN fb ON m.env = fb.env AND off + h < te, al)",
@@ -71,69 +72,102 @@ def _cv_sql() -> str:
         "ps AS (SELECT env, h, fold, pos, series_id, avg(abs(yt - yhat)) AS mae FROM pr GROUP BY ALL)",
         "nt AS (SELECT m.env, m.h, fold, count(*) FILTER (off + h < te) AS n_train, count(*) FILTER (off >= te AND off + h < ve) AS n_val"
         " FROM mat m JOIN fb ON m.env = fb.env GROUP BY ALL)",
-        "sc AS (SELECT env, h, fold, pos, median(mae) AS score FROM ps GROUP BY ALL)"],
-        "SELECT env, h, 'ridge' AS model, pos AS position, fold, n_train, n_val, " + S.rs("score") + " FROM sc JOIN nt USING (env, h, fold)")
+        "sc AS (SELECT env, h, fold, pos, median(mae) AS score FROM ps GROUP BY ALL)"]
 
 
-@query(_cv_sql())
+@query(S.q(_cv_ctes(), "SELECT env, h, 'ridge' AS model, pos AS position, fold, n_train, n_val, " + S.rs("score") + " FROM sc JOIN nt USING (env, h, fold)"))
 def ridge_cross_validation(spark, sf):
     """Every published penalty on all features, fleets, horizons and folds."""
     return rounded(each(lambda e: E.cross_validate(feature_matrix(grid(spark, sf, e), SPECS[e]), SPECS[e], "ridge").drop("params")))
 
 
-@query()
+@query(S.q([
+    *_cv_ctes(),
+    "won AS (SELECT env, h, alpha FROM (SELECT env, h, pos, row_number() OVER (PARTITION BY env, h ORDER BY avg(score), pos) AS k FROM sc"
+    " GROUP BY env, h, pos) JOIN al USING (pos) WHERE k = 1)",
+    "refit AS (SELECT m.*, alpha FROM mat m JOIN won USING (env, h) WHERE off + h < n_fit)",
+    *S.regression("refit", ["env", "h", "alpha"], "tuned", "alpha"),
+    f"tp AS (SELECT m.env, m.h, m.series_id, m.y_future AS yt, {S.forecast('m', 'tuned')} AS yhat, d FROM mat m JOIN tuned ON m.env = tuned.env"
+    " AND m.h = tuned.h JOIN scl ON m.env = scl.env AND m.series_id = scl.series_id WHERE off >= n_fit AND off + m.h < n)",
+    S.metrics("tp", "env, h, series_id", "tm")],
+    "SELECT env, h, 'ridge' AS model, series_id, n_rows, " + S.rs("mae", "rmse", "smape", "mase", "r2") + " FROM tm"))
 def tuned_ridge(spark, sf):
-    """Parameters chosen on the folds, used for the one scoring of the test rows."""
-    m = keep(_within_matrix(spark, sf, "A", (1,)))
-    chosen = E.choose(E.cross_validate(m, SPECS["A"], "ridge", [{"alpha": a} for a in (0.1, 10.0, 1000.0)]))
-    params = E.chosen_params(chosen, "A", 1, "ridge")
-    return rounded(E.run_within(m, SPECS["A"], {"ridge": params}))
-
-
-def _transfer_sql() -> str:
-    ctes, rows = [*S.base(("A", "B")), S.stats()], []
-    for m in N.MODES:
-        ctes += S.frame(m, f"m{m}", hs=(6,))
-        ctes.append(f"c{m} AS (SELECT env AS source, regr_slope(target, lag_1) AS b1, regr_intercept(target, lag_1) AS b0 FROM m{m}"
-                    " WHERE off + h < n_fit GROUP BY env)")
-        p = "(c.b0 + c.b1 * lag_1)"
-        yhat = {"N0": p, "N1": f"{p} * sd + mu", "N2": f"y + {p}"}[m]
-        rows.append(f"SELECT c.source, t.env AS target, '{m}' AS mode, t.series_id, y_future AS yt, {yhat} AS yhat FROM m{m} t, c{m} c"
-                    " WHERE off >= n_fit AND off + h < n")
+    """Parameters chosen on the folds for each fleet and horizon, used for the one scoring of the test rows."""
+    def one(e):
+        m = keep(_within_matrix(spark, sf, e))
+        return E.run_tuned(m, SPECS[e], E.choose(E.cross_validate(m, SPECS[e], "ridge")))
+    return rounded(each(one))
+
+
+def _transfer_sql(pairs, modes, hs=S.HS, calendars=("on",), start=None, train: str = "TRUE") -> str:
+    """Per-series metrics of a linear model fitted on all features of each source; ``train`` may narrow the fit rows ``x`` of N1."""
+    ctes = [*(start or [*S.base(sorted({e for p in pairs for e in p})), S.stats()]),
+            "pairs AS (SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{t}')" for s, t in pairs) + ") t(source, target))"]
+    rows = []
+    for m in modes:
+        ctes += S.frame(m, f"m{m}", hs=hs)
+        ctes.append(f"f{m} AS (SELECT * FROM m{m} x WHERE off + h < n_fit" + (f" AND {train})" if m == "N1" else ")"))
+        for cal in calendars:
+            c, names = f"c{m}{cal}", tuple(S.FEATURES if cal == "on" else S.FEATURES[:-4])
+            ctes += S.regression(f"f{m}", ["env", "h"], c, features=names)
+            p = S.forecast("t", c, names)
+            yhat = {"N0": p, "N1": f"{p} * t.sd + t.mu", "N2": f"t.y + {p}"}[m]
+            rows.append(f"SELECT source, pairs.target AS env, '{m}' AS mode, '{cal}' AS calendar, t.h, t.series_id, t.y_future AS yt, {yhat} AS yhat FROM m{m} t"
+                        f" JOIN pairs ON pairs.target = t.env JOIN {c} ON {c}.env = pairs.source AND {c}.h = t.h WHERE t.off >= t.n_fit AND t.off + t.h < t.n")
     ctes.append("tp AS (" + " UNION ALL ".join(rows) + ")")
-    ctes.append(S.metrics("tp", "source, target, mode, series_id", "tm", d="CAST(NULL AS DOUBLE)"))
-    return S.q(ctes, "SELECT source, target, mode, 'on' AS calendar, 6 AS h, 'lr' AS model, series_id, n_rows, "
+    ctes.append(S.metrics("tp", "source, env, mode, calendar, h, series_id", "tm", d="CAST(NULL AS DOUBLE)"))
+    return S.q(ctes, "SELECT source, env AS target, mode, calendar, h, 'lr' AS model, series_id, n_rows, "
                + S.rs("mae", "rmse", "smape", "mase", "r2") + " FROM tm")
 
 
-@query(_transfer_sql())
+_PAIRS = [(s, t) for s in ALL for t in ALL]
+
+
+@query(_transfer_sql(_PAIRS, N.MODES))
 def linear_transfer(spark, sf):
-    """Transfer pairs and the diagonal in all three modes, by one linear feature."""
-    return rounded(E.run_transfer(
-        _matrices(spark, sf, ("A", "B"), N.MODES), SPECS, [("A", "A"), ("A", "B"), ("B", "A"), ("B", "B")],
-        list(N.MODES), {"lr": {}}, features=["lag_1"], horizons=(6,)))
+    """All transfer pairs and the diagonal in all three modes and horizons, by a linear model on all features."""
+    return rounded(E.run_transfer(_matrices(spark, sf, ALL, N.MODES), SPECS, _PAIRS, list(N.MODES), {"lr": {}}))
 
 
-@query()
+_BOTH_WAYS = [("B", "C"), ("C", "B")]
+
+
+@query(_transfer_sql(_BOTH_WAYS, ("N0", "N1"), calendars=("on", "off")))
 def transfer_without_calendar(spark, sf):
     mats = _matrices(spark, sf, ("B", "C"), ("N0", "N1"))
-    pairs = [("B", "C"), ("C", "B")]
-    on = E.run_transfer(mats, SPECS, pairs, ["N0", "N1"], {"lr": {}}, True, horizons=(1,))
-    off = E.run_transfer(mats, SPECS, pairs, ["N0", "N1"], {"lr": {}}, False, horizons=(1,))
-    return rounded(on.unionByName(off))
+    return rounded(E.run_transfer(mats, SPECS, _BOTH_WAYS, ["N0", "N1"], {"lr": {}}, True).unionByName(
+        E.run_transfer(mats, SPECS, _BOTH_WAYS, ["N0", "N1"], {"lr": {}}, False)))
 
 
-@query()
+_SCREENED = ("scr AS (SELECT f.env, f.series_id FROM fleet f JOIN norm ON f.env = norm.env AND f.series_id = norm.series_id JOIN par ON f.env = par.env"
+             " WHERE off < n_fit GROUP BY f.env, f.series_id HAVING max(abs(y - mu) / nullif(sd, 0)) > 3.5)")
+
+
+@query(_transfer_sql([*_BOTH_WAYS, ("C", "C")], ("N1",), start=[*S.base(("B", "C")), S.stats(), _SCREENED],
+                     train="NOT EXISTS (SELECT 1 FROM scr WHERE scr.env = x.env AND scr.series_id = x.series_id)"))
 def transfer_with_exclusions(spark, sf):
     """N1 with screened series left out of training; every target series is still scored."""
     screen = each(lambda e: N.samuelson_screen(grid(spark, sf, e), SPECS[e]), ("B", "C"))
     screen = screen.withColumn("excluded", F.col("max_abs_z") > 3.5)
     return rounded(E.run_transfer(
-        _matrices(spark, sf, ("B", "C"), ("N1",)), SPECS, [("B", "C"), ("C", "B"), ("C", "C")], ["N1"], {"lr": {}},
-        excluded=screen, horizons=(1,)))
+        _matrices(spark, sf, ("B", "C"), ("N1",)), SPECS, [*_BOTH_WAYS, ("C", "C")], ["N1"], {"lr": {}}, excluded=screen))
 
 
-@query()
+def _halves_sql() -> list[str]:
+    """``fleet`` and ``par`` of the pseudo-fleets Cs and Cg in place of those of C."""
+    par, *rest = S.base(("C",))
+    old = [c.replace("fleet AS (", "whole AS (", 1) if c.startswith("fleet AS (") else c for c in rest]
+    copies = " UNION ALL ".join(["SELECT * FROM par_c", *(f"SELECT * REPLACE ('{e}' AS env) FROM par_c" for e in ("Cs", "Cg"))])
+    return [par.replace("par AS (", "par_c AS (", 1), f"par AS ({copies})", *old, _GROUPS,
+            "sizes AS (SELECT *, count(*) OVER (PARTITION BY env, series_id) AS k FROM grp WHERE env <> 'rest')",
+            "fleet AS (SELECT g.env, g.series_id, min(b0) AS b0, f.bucket, f.off, CASE WHEN count(f.y) = max(k) THEN avg(f.y) END AS y"
+            " FROM whole f JOIN sizes g ON f.series_id = g.member GROUP BY g.env, g.series_id, f.bucket, f.off)"]
+
+
+_HALVES = [("Cs", "Cs"), ("Cs", "Cg"), ("Cg", "Cg"), ("Cg", "Cs")]
+
+
+@query(_transfer_sql(_HALVES, ("N0",), start=_halves_sql()))
 def single_vs_grouped_transfer(spark, sf):
     """Half of the suppliers alone, half as group means, in both directions and on their own."""
     g, groups = keep(grid(spark, sf, "C")), _groups(spark, sf)
@@ -141,8 +175,7 @@ def single_vs_grouped_transfer(spark, sf):
     grouped = R.strict_group_mean(g, groups.where(F.col("env") == "Cg"))
     specs = {"Cs": SPECS["C"], "Cg": SPECS["C"]}
     mats = {(e, "N0"): feature_matrix(d, SPECS["C"]) for e, d in (("Cs", single), ("Cg", grouped))}
-    pairs = [("Cs", "Cs"), ("Cs", "Cg"), ("Cg", "Cg"), ("Cg", "Cs")]
-    return rounded(E.run_transfer(mats, specs, pairs, ["N0"], {"lr": {}}, horizons=(1,)))
+    return rounded(E.run_transfer(mats, specs, _HALVES, ["N0"], {"lr": {}}))
 
 
 def _every_candidate(spark, sf, name):
@@ -183,10 +216,16 @@ def capped_training_rows(spark, sf):
         F.count(F.lit(1)).alias("n_rows"), F.avg("target").alias("target_mean")))
 
 
-@query("SELECT s AS source, s AS target, 'N0' AS mode, 'on' AS calendar, 1 AS h, m AS model"
-       " FROM (SELECT 'A' AS s, unnest(['lr', 'ridge']) AS m) WHERE (SELECT count(*) FROM events) > 0")
+@query(S.q([*S.base(), *S.frame()],
+           "SELECT env AS source, env AS target, 'N0' AS mode, 'on' AS calendar, h, model, CAST(1 AS BIGINT) AS n_touched, count(DISTINCT series_id)"
+           " AS n_series, count(*) AS n_rows FROM mat, (VALUES ('lr'), ('ridge')) t(model) WHERE off >= n_fit AND off + h < n GROUP BY env, h, model"))
 def scored_combinations(spark, sf):
-    """Each scored combination is on record once."""
+    """Times that each combination is on record, beside the series and test rows that its results have."""
     ledger = E.TestLedger()
-    E.run_within(_within_matrix(spark, sf, "A", (1,)), SPECS["A"], {"lr": {}, "ridge": {"alpha": 1.0}}, ledger)
-    return ledger.table(spark)
+    found = each(lambda e: E.run_within(_within_matrix(spark, sf, e), SPECS[e], {"lr": {}, "ridge": {"alpha": 1.0}}, ledger))
+    results = found.groupBy("env", "h", "model").agg(F.count(F.lit(1)).alias("n_series"), F.sum("n_rows").alias("n_rows"))
+    keys = ["source", "target", "mode", "calendar", "h", "model"]
+    results = results.select(F.col("env").alias("source"), F.col("env").alias("target"), F.lit("N0").alias("mode"), F.lit("on").alias("calendar"),
+                             "h", "model", "n_series", "n_rows")
+    touched = ledger.table(spark).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_touched"))
+    return touched.join(results, keys, "full").select(*keys, "n_touched", "n_series", "n_rows")

@@ -61,9 +61,12 @@ def level_vs_burstiness(spark, sf):
     return rounded(H.spearman(b, ["env"], "cv", "mean").drop("p"))
 
 
-@query()
+@query(S.q([*S.base(), BURST, f"rk AS (SELECT env, {_rank('cv')} AS rx, {_rank('mean')} AS ry FROM burst)",
+            "co AS (SELECT env, corr(rx, ry) AS rho, count(*) AS n_series FROM rk GROUP BY env)",
+            "te AS (SELECT *, n_series - 2 AS dof, rho * sqrt(CASE WHEN n_series > 1 THEN n_series - 2.0 END / nullif(1 - rho * rho, 0)) AS t FROM co)"],
+           "SELECT env, " + S.r("rho") + ", n_series, " + S.r(S.student("t", "dof"), "p") + " FROM te"))
 def level_vs_burstiness_p(spark, sf):
-    """The same correlation with its p-value (Student's t has no closed SQL form)."""
+    """The same correlation with its p-value; SQL integrates Student's density."""
     return rounded(H.spearman(each(lambda e: T.burstiness(grid(spark, sf, e))), ["env"], "cv", "mean"))
 
 
@@ -193,16 +196,16 @@ def gate_slice(spark, sf):
 _LAGS = (1, 2, 3, 6, 12, 24)
 
 
-def _acf_sql(col: str = "y") -> str:
+def _acf_sql(col: str = "y", lags=_LAGS) -> str:
     one = []
-    for k in _LAGS:
+    for k in lags:
         both = f"{col} IS NOT NULL AND a{k} IS NOT NULL"
         one.append(
             f"SELECT env, series_id, {k} AS lag, CASE WHEN count(*) FILTER ({both}) >= 30 AND"
             f" var_pop({col}) FILTER ({both}) * count(*) FILTER ({both}) > 1e-12 AND var_pop(a{k}) FILTER ({both})"
             f" * count(*) FILTER ({both}) > 1e-12 THEN corr(a{k}, {col}) END AS acf, count(*) FILTER ({both}) AS n_pairs,"
             f" count(*) FILTER (off >= {k}) AS n_slots FROM lagged GROUP BY env, series_id")
-    return ("lagged AS (SELECT *, " + ", ".join(f"lag({col}, {k}) OVER s AS a{k}" for k in _LAGS)
+    return ("lagged AS (SELECT *, " + ", ".join(f"lag({col}, {k}) OVER s AS a{k}" for k in lags)
             + " FROM fleet WINDOW s AS (PARTITION BY env, series_id ORDER BY bucket)), acf AS (" + " UNION ALL ".join(one) + ")")
 
 
@@ -237,9 +240,20 @@ def partial_autocorrelation_summary(spark, sf):
     return rounded(A.pacf_summary(A.pacf(each(lambda e: A.acf(grid(spark, sf, e), [1, 2, 3])), 3), 3))
 
 
-@query()
+# Durbin-Levinson, a lag a step: the coefficients so far, the variance left and whether the series is still stable.
+_LEVINSON = (
+    "rho AS (SELECT env, series_id, list(acf ORDER BY lag) AS rho, count(acf) = 24 AS whole FROM acf GROUP BY env, series_id), "
+    "steps AS (SELECT env, series_id, rho, 1 AS lag, [rho[1]] AS phi, 1 - rho[1] * rho[1] AS rest, whole AS alive FROM rho UNION ALL"
+    " SELECT env, series_id, rho, lag + 1, list_append(list_transform(phi, lambda x, i: x - p * phi[lag + 1 - i]), p), rest * (1 - p * p), stable FROM"
+    " (SELECT *, CASE WHEN stable THEN raw ELSE 0 END AS p FROM (SELECT *, coalesce(abs(raw) < 1, FALSE) AS stable FROM (SELECT *,"
+    " CASE WHEN alive AND rest > 1e-10 THEN (rho[lag + 1] - list_sum(list_transform(phi, lambda x, i: x * rho[lag + 1 - i]))) / rest END AS raw"
+    " FROM steps WHERE lag < 24))))")
+
+
+@query(S.q([*S.base(), _acf_sql(lags=range(1, 25)), _LEVINSON],
+           "SELECT env, series_id, lag, " + S.r("CASE WHEN alive THEN phi[lag] END", "pacf") + " FROM steps", recursive=True))
 def partial_autocorrelation_deep(spark, sf):
-    """PACF to lag 24 (the recursion has no SQL form; lags 1 to 3 are checked above)."""
+    """PACF to lag 24; SQL replays the recursion a lag at a time."""
     return rounded(A.pacf(each(lambda e: A.acf(grid(spark, sf, e), list(range(1, 25)))), 24))
 
 

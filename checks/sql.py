@@ -287,5 +287,14 @@ def forecast(row: str, name: str, features=tuple(FEATURES)) -> str:
         " ELSE 0 END" for i, f in enumerate(features)) + ")"
 
 
-def q(ctes: list[str], select: str) -> str:
-    return "WITH " + ",\n".join(ctes) + "\n" + select
+def student(t: str, dof: str) -> str:
+    """Two-sided tail of Student's t: Simpson's rule over the angle atan(t / sqrt(dof)), a share of the whole integral."""
+    def part(start: str) -> str:
+        return (f"((pi() / 2 - {start}) * list_sum(list_transform(range(0, 4001), lambda i: (CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4"
+                f" ELSE 2 END) * pow(cos({start} + (pi() / 2 - {start}) * i / 4000.0), {dof} - 1))))")
+
+    return f"CASE WHEN {dof} >= 1 AND {t} IS NOT NULL THEN {part(f'atan(abs({t}) / sqrt({dof}))')} / {part('0.0')} END"
+
+
+def q(ctes: list[str], select: str, recursive: bool = False) -> str:
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(ctes) + "\n" + select

@@ -216,6 +216,20 @@ def test_finished_parts_of_a_search_are_left_out(spark):
     assert {r.h for r in E.run_within(m, SMALL, {"ridge": {"alpha": 2.0}}, features=names, done=done).collect()} == {1, 2}
 
 
+def test_tuned_runs_use_each_horizons_own_choice(spark):
+    m, names = _two_horizons(spark), ["lag_1", "diff_1"]
+    chosen = spark.createDataFrame([("E", 1, "ridge", 0, '{"alpha": 0.5}', 1.0), ("E", 2, "ridge", 1, '{"alpha": 40.0}', 1.0),
+                                    ("E", 1, "lr", 0, "{}", 1.0), ("F", 9, "ridge", 2, '{"alpha": 7.0}', 1.0)], E.CHOSEN_SCHEMA)
+    ledger = E.TestLedger()
+    got = {(r.h, r.model, r.series_id): r.mae for r in E.run_tuned(m, SMALL, chosen, ledger, features=names).collect()}
+    want = {}
+    for h, model, params in ((1, "ridge", {"alpha": 0.5}), (2, "ridge", {"alpha": 40.0}), (1, "lr", {})):
+        for r in E.run_within(m.where(F.col("h") == h), SMALL, {model: params}, features=names).collect():
+            want[h, model, r.series_id] = r.mae
+    assert got == pytest.approx(want) and len(ledger.touched) == 3
+    assert E.run_tuned(m, SMALL, chosen.where("env = 'F'"), features=names) is None
+
+
 def test_moments_merge(spark):
     draw = np.random.default_rng(2)
     x = draw.normal(1e6, 1, (300, 4))
