@@ -257,3 +257,20 @@ def test_robust_regression_is_that_of_the_other_solver(spark):
     w, scale = found.found["", 0]
     assert np.abs(phi @ w[:-1] + w[-1] - (phi @ other.coefficients.toArray() + other.intercept)).max() < 5e-3
     assert scale == pytest.approx(other.scale, rel=1e-3)
+
+
+def test_level_reference_of_named_pairs(spark):
+    """A source's mean target on every test row of its target; named pairs are a part of all pairs."""
+    from tidemark.plans.transfer import level_reference
+
+    rows = [m.withColumn("mode", F.lit("N0")) for m in _matrices(spark, ("N0",)).values()]
+    both = rows[0].unionByName(rows[1])
+    fit, test = V.fit_rows(both, SMALL), V.test_rows(both, SMALL)
+    key = lambda r: (r.source, r.target, r.h, r.series_id)
+    every = {key(r): r.mae for r in level_reference(fit, test).collect()}
+    named = {key(r): r.mae for r in level_reference(fit, test, [("E", "F"), ("F", "F"), ("E", "F")]).collect()}
+    assert {k[:2] for k in every} == {("E", "E"), ("E", "F"), ("F", "E"), ("F", "F")}
+    assert named == pytest.approx({k: v for k, v in every.items() if k[:2] in {("E", "F"), ("F", "F")}}) and named
+    level = fit.where("env = 'E'").agg(F.avg("target")).first()[0]
+    want = test.where("env = 'F' AND series_id = 's1'").agg(F.avg(F.abs(F.col("y_future") - level))).first()[0]
+    assert named["E", "F", 1, "s1"] == pytest.approx(want)
