@@ -331,7 +331,8 @@ def level_histogram(spark, sf):
            + " FROM bins LEFT JOIN hit ON bins.env = hit.env AND bins.bin = hit.bin"))
 def cv_histogram(spark, sf):
     b = each(lambda e: T.burstiness(grid(spark, sf, e)))
-    return rounded(D.log_histogram(b, -2.0, 1.3, 39, "cv"))
+    # SQL divides 0 by 0 where an environment has no value in the bins
+    return rounded(D.log_histogram(b, -2.0, 1.3, 39, "cv").withColumn("pct", F.coalesce("pct", F.lit(float("nan")))))
 
 
 @query(S.q([*PER_TEST, "ratio AS (SELECT a.env, a.h, a.model, a.mae / b.mae AS ratio FROM per a JOIN per b ON a.env = b.env"

@@ -136,6 +136,14 @@ def test_histogram_closes_the_last_bin(spark):
     assert (h[0], h[1], h[49], h[10]) == (2, 1, 2, 0) and len(h) == 50
 
 
+def test_log_histogram_counts_what_lies_in_the_bins(spark):
+    rows = [("E", 0.001), ("E", 0.02), ("E", 0.2), ("E", 0.2), ("F", 0.001), ("F", 0.0), ("G", None)]
+    got = {(r.env, r.bin): (r.n_in_bin, r.pct) for r in
+           D.log_histogram(spark.createDataFrame(rows, "env string, cv double"), -2.0, 0.0, 2, "cv").collect()}
+    assert got[("E", 0)] == (1, pytest.approx(100 / 3)) and got[("E", 1)] == (2, pytest.approx(200 / 3))
+    assert len(got) == 6 and {got[(e, b)] for e in "FG" for b in (0, 1)} == {(0, None)}
+
+
 def test_describe(spark):
     d = D.describe(grid_table(spark, {"a": [0, 50, 100, None], "b": [25, 75, 100, None]})).first()
     assert (d.n_series, d.n_points, d.missing_pct) == (2, 8, 25.0)
