@@ -82,6 +82,12 @@ def test_spearman(spark):
     assert _t_two_sided(1.959964, 1e6) == pytest.approx(0.05, abs=1e-5)
 
 
+def test_spearman_p_of_a_perfect_correlation(spark):
+    rows = [(k, float(i), sign * i) for k, n, sign in (("up", 5, 1.0), ("down", 5, -1.0), ("two", 2, 1.0)) for i in range(n)]
+    got = {r.k: (r.rho, r.p) for r in H.spearman(spark.createDataFrame(rows, "k string, x double, y double"), ["k"], "x", "y").collect()}
+    assert got == {"up": (1.0, 0.0), "down": (-1.0, 0.0), "two": (1.0, None)}
+
+
 def test_holm(spark):
     df = spark.createDataFrame([("f", i, p) for i, p in enumerate((0.01, 0.03, 0.03, 0.04, 0.2))] + [("g", 9, 0.5)],
                                "fam string, i int, p double")
