@@ -134,6 +134,19 @@ def test_done_combinations_are_skipped_and_results_go_to_the_sink(spark):
     assert out is None and [(r.source, r.target) for r in seen] == [("E", "F")]
 
 
+def test_a_target_is_scored_once_by_all_of_its_sources(spark):
+    """Each source by its own coefficients and horizons, whatever shares the fit and the scan."""
+    seen, mats = [], _matrices(spark, ("N0",))
+    pairs, done = [("E", "F"), ("F", "F"), ("E", "E")], {("F", "F", "N0", "on", 3, "lr")}
+    mats = {k: feature_matrix(grid_table(spark, DATA if k[0] == "E" else {s: [v * 0.3 for v in d] for s, d in DATA.items()}, env=k[0]), SMALL) for k in mats}
+    E.run_transfer(mats, SPECS, pairs, ["N0"], {"lr": {}}, features=["lag_1"], done=done, sink=lambda d: seen.append(d.collect()))
+    assert [{(r.source, r.target, r.h) for r in t} for t in seen] == [
+        {("E", "F", 1), ("E", "F", 3), ("F", "F", 1)}, {("E", "E", 1), ("E", "E", 3)}]
+    alone = E.run_transfer(mats, SPECS, [("E", "F")], ["N0"], {"lr": {}}, features=["lag_1"]).collect()
+    mae = lambda rows: {(r.h, r.series_id): pytest.approx(r.mae) for r in rows if r.source == "E"}
+    assert mae(seen[0]) == mae(alone)
+
+
 def test_exclusion_changes_training_only(spark):
     mats = _matrices(spark, ("N1",))
     screen = spark.createDataFrame([("E", "s0", True), ("E", "s1", False)], "env string, series_id string, excluded boolean")
