@@ -99,6 +99,17 @@ def test_first_candidate_wins_a_tie(spark):
     assert E.choose(log).first().position == 0
 
 
+def test_tuned_runs_store_the_matrix_once(spark, matrix, monkeypatch):
+    stored = []
+    monkeypatch.setattr(E, "settle", lambda df, by=None: stored.append(df) or df)
+    grid = [{"alpha": 0.1}, {"alpha": 10.0}]
+    log = E.cross_validate(matrix, SMALL, "ridge", grid, ["lag_1"], stored=True)
+    assert not stored and {(r.fold, r.n_train > 0, r.n_val > 0) for r in log.collect()} == {(i, True, True) for i in range(5)}
+    h = matrix.first().h
+    chosen = spark.createDataFrame([("E", h, "ridge", 0, '{"alpha": 0.1}', 1.0), ("E", h + 100, "ridge", 1, '{"alpha": 10.0}', 1.0)], E.CHOSEN_SCHEMA)
+    assert E.run_tuned(matrix, SMALL, chosen, features=["lag_1"]).count() == 4 and len(stored) == 1
+
+
 def test_test_rows_are_scored_once(spark, matrix):
     ledger = E.TestLedger()
     out = E.run_within(matrix, SMALL, {"lr": {}}, ledger, features=["lag_1"])
