@@ -283,6 +283,20 @@ def test_robust_regression_is_that_of_the_other_solver(spark):
     assert scale == pytest.approx(other.scale, rel=1e-3)
 
 
+def test_level_reference_of_two_runs_in_one_scan(spark):
+    from tidemark.operators.splits import fit_rows, in_range, test_rows
+    from tidemark.plans.transfer import level_reference
+
+    m = _matrices(spark, ("N0",))
+    rows = m["E", "N0"].unionByName(m["F", "N0"])
+    fit, test, train = fit_rows(rows, SMALL), test_rows(rows, SMALL), rows.where(in_range(*SMALL.bounds["train"]))
+    both = level_reference(fit.withColumn("run", F.lit("first")).unionByName(train.withColumn("run", F.lit("again"))), test, runs=True)
+    key = lambda r: (r.source, r.target, r["mode"], r.h, r.series_id)
+    for run, alone in (("first", fit), ("again", train)):
+        assert {key(r): r.mae for r in both.where(F.col("run") == run).collect()} == {
+            key(r): pytest.approx(r.mae) for r in level_reference(alone, test).collect()}
+
+
 def test_level_reference_of_named_pairs(spark):
     """A source's mean target on every test row of its target; named pairs are a part of all pairs."""
     from tidemark.plans.transfer import level_reference
