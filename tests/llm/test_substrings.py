@@ -27,6 +27,29 @@ def test_the_transform_of_repeated_text_has_few_runs():
     assert RunLengthIndex([once] * 50).runs < 3 * RunLengthIndex([once]).runs
 
 
+def test_hopeless_queries_are_dropped(monkeypatch):
+    """A query that can no longer match the least length is not streamed to its start."""
+    draw, calls, common = random.Random(4), [], RunLengthIndex._common
+    text = lambda n: bytes(draw.randrange(97, 123) for _ in range(n))
+    index = RunLengthIndex([text(80) for _ in range(40)])
+    monkeypatch.setattr(RunLengthIndex, "_common", lambda self, a, b: calls.append(len(a)) or common(self, a, b))
+    assert not index.matching([text(80) for _ in range(50)], 50).any()
+    assert len(calls) <= 2 * 40
+
+
+def test_windows_of_equal_hash_are_told_apart(monkeypatch):
+    import numpy as np
+
+    draw = random.Random(6)
+    segments = sorted({bytes(draw.randrange(97, 99) for _ in range(8)) * 9 for _ in range(40)})
+    docs, left = np.array([draw.randrange(9) for _ in segments]), np.arange(len(segments))
+    want = [sum(1 << j for j in range(23) if any(s[j:j + 50] in o for o, d in zip(segments, docs, strict=True) if d < docs[i]))
+            for i, s in enumerate(segments)]
+    assert [int(b) for _, b in substrings._by_window(segments, docs, left)] == want and any(want)
+    monkeypatch.setattr(substrings.Windows, "whole", lambda self, raw: np.zeros(len(raw) - 49, np.uint64))
+    assert [int(b) for _, b in substrings._by_window(segments, docs, left)] == want
+
+
 @pytest.mark.parametrize("rounds", [0, 1, 4])
 def test_marks_do_not_depend_on_the_number_of_rounds(rounds, monkeypatch):
     import numpy as np

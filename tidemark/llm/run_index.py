@@ -38,6 +38,7 @@ class RunLengthIndex:
         stops = np.concatenate([starts[1:], [n]]) - 1
         self.start_sample, self.end_sample, self.run_stop = order[starts], order[stops], stops
         sizes = stops - starts + 1
+        self.run_of = np.repeat(np.arange(len(starts), dtype=np.int32), sizes)  # the run of a row
         by_char = np.argsort(self.head, kind="stable")
         first_row = np.concatenate([[0], np.cumsum(sizes[by_char])[:-1]])
         self.target = np.empty(len(starts), np.int64)  # the row that the first row of a run maps to
@@ -48,17 +49,23 @@ class RunLengthIndex:
 
     @staticmethod
     def _sorted_suffixes(key):
-        """Suffix array by doubling, starting from the rank of each suffix's first KEY characters."""
-        rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
-        n, step = len(rank), KEY
-        while rank.max() < n - 1:
-            far = np.zeros(n, np.int64)
-            far[:-step or None] = rank[step:] + 1 if step < n else 0
-            rank = np.unique(rank * (n + 1) + far, return_inverse=True)[1].astype(np.int64)
+        """Suffix array by doubling, starting from each suffix's first KEY characters; only what is still tied is sorted again."""
+        n, step = len(key), KEY
+        order = np.argsort(key)
+        tied = np.arange(n)
+        value = key[order]
+        rank = np.zeros(n + 1, np.int64)  # place of the first suffix of the same start, from 1; past the end: 0
+        while True:
+            first = np.concatenate([[True], value[1:] != value[:-1]])
+            rank[order[tied]] = tied[np.maximum.accumulate(np.where(first, np.arange(len(tied)), 0))] + 1
+            tied = tied[~(first & np.append(first[1:], True))]
+            if not len(tied):
+                return order
+            own = order[tied]
+            value = rank[own] * (n + 1) + rank[np.minimum(own + step, n)]
+            by = np.argsort(value)
+            order[tied], value = own[by], value[by]
             step *= 2
-        order = np.empty(n, np.int64)
-        order[rank] = np.arange(n)
-        return order
 
     def _common(self, a, b):
         """Length of the common start of text suffixes a and b, up to 8 * KEY."""
@@ -78,19 +85,19 @@ class RunLengthIndex:
         ``least`` is at most 8 * KEY, a query has at most 63 such starts.
         """
         lengths = np.fromiter(map(len, queries), np.int64, len(queries))
-        order = np.argsort(-lengths, kind="stable")
+        out = np.zeros(len(queries), np.uint64)
+        ids = np.argsort(-lengths, kind="stable")
         raw = np.frombuffer(b"".join(queries), np.uint8).astype(np.int64) + 2
-        ends = np.cumsum(lengths)[order]
-        lengths = lengths[order]
-        row = np.zeros(len(order), np.int64)
-        place = np.full(len(order), self.start_sample[0])
-        match = np.zeros(len(order), np.int64)
-        flags = np.zeros(len(order), np.uint64)
+        ends = np.cumsum(lengths)[ids]
+        lengths = lengths[ids]
+        row = np.zeros(len(ids), np.int64)
+        place = np.full(len(ids), self.start_sample[0])
+        match = np.zeros(len(ids), np.int64)
         for step in range(int(lengths[0]) if len(lengths) else 0):
             live = int(np.searchsorted(-lengths, -step))  # queries longer than step stand first
             c = raw[ends[:live] - 1 - step]
             r, p, m = row[:live], place[:live], match[:live]
-            run = np.searchsorted(self.run_start, r, "right") - 1
+            run = self.run_of[r]
             jump = np.flatnonzero(self.head[run] != c)
             p, m = p - 1, m + 1
             if len(jump):
@@ -118,8 +125,12 @@ class RunLengthIndex:
             place[:live] = np.where(m > 0, p, self.start_sample[0])
             match[:live] = m
             start = lengths[:live] - 1 - step
-            hit = (m >= least) & (start < 64)
-            flags[:live][hit] |= np.uint64(1) << start[hit].astype(np.uint64)
-        out = np.empty(len(order), np.uint64)
-        out[order] = flags
+            if step + 1 >= least:
+                hit = np.flatnonzero((m >= least) & (start < 64))
+                out[ids[hit]] |= np.uint64(1) << start[hit].astype(np.uint64)
+            # A query whose match cannot reach the least length with what is left of it is done.
+            able = m + start >= least
+            if 4 * np.count_nonzero(able) < 3 * live:
+                keep = np.flatnonzero(able)
+                ids, lengths, ends, row, place, match = (x[keep] for x in (ids, lengths, ends, row, place, match))
         return out

@@ -54,13 +54,14 @@ class Windows:
         if part:
             yield first, part
 
-    def grams(self, raw):
-        """Polynomial hashes of all strings of 1, 2, 4, ... 32 bytes."""
+    def grams(self, raw, most: int = 32):
+        """Polynomial hashes of all strings of 1, 2, 4, ... ``most`` bytes."""
         import numpy as np
 
-        h = {1: self.values[raw]}
-        for k in (1, 2, 4, 8, 16):
+        h, k = {1: self.values[raw]}, 1
+        while k < most:
             h[2 * k] = h[k][:-k] * np.uint64(pow(BASE, k, 1 << 64)) + h[k][k:] if len(h[k]) > k else h[k][:0]
+            k *= 2
         return h
 
     @staticmethod
@@ -90,11 +91,35 @@ class Windows:
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         owner = np.repeat(np.arange(len(texts)), lengths)[:n]
         owner = np.where(np.arange(n) + WINDOW <= np.cumsum(lengths)[owner], owner, -1)
-        route = None
-        if routes:
-            ten = grams[8][:len(raw) - ROUTE + 1] * np.uint64(pow(BASE, 2, 1 << 64)) + grams[2][8:8 + len(raw) - ROUTE + 1]
-            route = self.smallest(mix(ten + np.uint64(1)), WINDOW - ROUTE + 1)
-        return joined, owner, anchor, route
+        return joined, owner, anchor, self.routes(grams, len(raw)) if routes else None
+
+    def routes(self, grams, n: int):
+        """Route anchor of each window of ``n`` bytes."""
+        import numpy as np
+
+        ten = grams[8][:n - ROUTE + 1] * np.uint64(pow(BASE, 2, 1 << 64)) + grams[2][8:8 + n - ROUTE + 1]
+        return self.smallest(mix(ten + np.uint64(1)), WINDOW - ROUTE + 1)
+
+    def first_routes(self, texts: list[bytes]):
+        """Route anchor of the first window of each text."""
+        import numpy as np
+
+        found = [np.zeros(0, np.uint64)]
+        for _, part in self.blocks(texts):
+            raw = np.frombuffer(b"".join(part), np.uint8)
+            found.append(self.routes(self.grams(raw, 8), len(raw))[np.cumsum([0, *map(len, part)])[:-1]])
+        return np.concatenate(found)
+
+    def whole(self, raw):
+        """Polynomial hash of each window."""
+        import numpy as np
+
+        grams, n = self.grams(raw), len(raw) - WINDOW + 1
+        out, at = np.zeros(n, np.uint64), 0
+        for k in (32, 16, 2):
+            out = out * np.uint64(pow(BASE, k, 1 << 64)) + grams[k][at:at + n]
+            at += k
+        return mix(out)
 
     def range_hashes(self, raw, starts, lengths):
         import numpy as np
@@ -153,11 +178,11 @@ class Chunk:
         route = h % np.uint64(self.n_routes)
         return route * np.uint64(self.space) + h // np.uint64(self.n_routes)
 
-    def anchors(self):
-        """Distinct anchor codes, ascending, and whether each stands in two documents of the chunk."""
+    def codes(self):
+        """Code and document of each run of equal anchors in a document."""
         import numpy as np
 
-        codes, docs = [], []
+        codes, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for first, part in self.windows.blocks(self.texts):
             _, owner, anchor, _ = self.windows.of(part)
             new = np.ones(len(anchor), bool)
@@ -165,12 +190,19 @@ class Chunk:
             new &= owner >= 0
             codes.append(self.code(anchor[new]))
             docs.append(self.rank[first + owner[new]])
-        code, doc = np.concatenate(codes or [np.zeros(0, np.uint64)]), np.concatenate(docs or [np.zeros(0, np.int64)])
-        by = np.argsort(code, kind="stable")
+        return np.concatenate(codes), np.concatenate(docs)
+
+    def anchors(self):
+        """Distinct anchor codes, ascending, and whether each stands in two documents of the chunk."""
+        import numpy as np
+
+        code, doc = self.codes()
+        if not len(code):
+            return code, np.zeros(0, bool)
+        by = np.argsort(code)
         code, doc = code[by], doc[by]
-        starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
-        stops = np.concatenate([starts[1:], [len(code)]]).astype(np.int64) - 1
-        return code[starts], doc[starts] != doc[stops]
+        starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        return code[starts], np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)
 
     def routed(self, codes):
         """(route, start, stop) of each route's part of ascending codes."""
@@ -182,7 +214,8 @@ class Chunk:
         """Blocks of (first text, bytes, start, length, owner, hash, route) of segments of windows with shared anchors."""
         import numpy as np
 
-        codes, _ = self.anchors()
+        codes = np.sort(self.codes()[0])
+        codes = codes[np.concatenate([[True], codes[1:] != codes[:-1]])[:len(codes)]]
         flags = [np.unpackbits(np.frombuffer(bits[r], np.uint8), count=b - a).astype(bool) for r, a, b in self.routed(codes)]
         shared = codes[np.concatenate(flags)] if flags else codes
         for first, part in self.windows.blocks(self.texts):
@@ -343,16 +376,40 @@ def _crowded(left, anchors):
 
 def _by_window(segments, docs, left):
     """(segment, marks) found by the first document of each distinct window."""
-    first: dict[bytes, int] = {}
-    for i in left:
-        s, d = segments[i], int(docs[i])
-        for j in range(len(s) - WINDOW + 1):
-            w = s[j:j + WINDOW]
-            if first.get(w, d) >= d:
-                first[w] = d
-    for i in left:
-        s, d = segments[i], int(docs[i])
-        yield i, sum(1 << j for j in range(len(s) - WINDOW + 1) if first[s[j:j + WINDOW]] < d)
+    import numpy as np
+
+    if not len(left):
+        return
+    own = [segments[i] for i in left]
+    raw = np.frombuffer(b"".join(own), np.uint8)
+    sizes = np.fromiter(map(len, own), np.int64, len(own)) - WINDOW + 1
+    ends = np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(own)), sizes)
+    place = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
+    at = np.repeat(np.cumsum(sizes + WINDOW - 1) - sizes - WINDOW + 1, sizes) + place
+    value, doc = Windows().whole(raw)[at], np.asarray(docs)[left][owner]
+    by = np.argsort(value)
+    starts = np.flatnonzero(np.concatenate([[True], value[by][1:] != value[by][:-1]]))
+    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(by))))
+    if _alike(raw, at[by], at[by[starts]][group]):
+        earlier = np.empty(len(by), bool)
+        earlier[by] = np.minimum.reduceat(doc[by], starts)[group] < doc[by]
+    else:
+        first: dict[bytes, int] = {}
+        windows = [raw[a:a + WINDOW].tobytes() for a in at.tolist()]
+        for w, d in zip(windows, doc.tolist(), strict=True):
+            first[w] = min(d, first.get(w, d))
+        earlier = np.array([first[w] < d for w, d in zip(windows, doc.tolist(), strict=True)])
+    yield from zip(left, np.bitwise_or.reduceat(earlier.astype(np.uint64) << place.astype(np.uint64), ends - sizes), strict=True)
+
+
+def _alike(raw, a, b) -> bool:
+    """Whether the windows from ``a`` equal those from ``b`` byte by byte."""
+    import numpy as np
+
+    windows, block = np.lib.stride_tricks.sliding_window_view(raw, WINDOW), 1 << 18
+    other = np.flatnonzero(a != b)
+    return all(np.array_equal(windows[a[o]], windows[b[o]]) for o in (other[i:i + block] for i in range(0, len(other), block)))
 
 
 def _mark_segments(key, table):
@@ -375,12 +432,7 @@ def _mark_segments(key, table):
     first = np.full(len(place), np.iinfo(np.int64).max)
     np.minimum.at(first, which, docs)
     distinct = list(place)
-    windows = Windows()
-    anchors = []
-    for _, part in windows.blocks(distinct):
-        _, _, _, route = windows.of(part, routes=True)
-        anchors.append(route[np.cumsum([0, *map(len, part)])[:-1]])
-    marks = marked(distinct, first, np.concatenate(anchors))[which]
+    marks = marked(distinct, first, Windows().first_routes(distinct))[which]
     marks[docs > first[which]] = ~np.uint64(0)
     cuts = np.cumsum([0, *counts])
     return pa.table({"chunk": table.column("chunk"), "kind": pa.array(["marks"] * len(counts)), "route": table.column("route"),
@@ -412,8 +464,8 @@ def _remove(space, n_routes):
                 counts = lengths - WINDOW + 1
                 for bit in range(int(counts.max()) if len(counts) else 0):
                     hit = starts[((own >> np.uint64(bit)) & np.uint64(1)).astype(bool) & (bit < counts)] + bit
-                    np.add.at(change, hit, 1)
-                    np.add.at(change, hit + WINDOW, -1)
+                    change[hit] += 1  # a window belongs to one segment, so no place repeats here
+                    change[hit + WINDOW] -= 1
                 gone = np.cumsum(change[:-1]) > 0
                 place = 0
                 while place < len(raw) or (done < len(chunk.texts) and not len(chunk.texts[done])):
