@@ -225,6 +225,14 @@ def test_secrets_of_odd_rows(spark):
     assert secrets.scan_secrets(plain.empty(spark)).count() == secrets.redact(plain.empty(spark)).count() == 0
 
 
+def test_a_text_travels_once(spark):
+    """The folded columns, which meet the candidates in a shuffle, do not hold the text a second time."""
+    df = plain.odd(spark)
+    scanned = secrets._scanned(df, secrets.RULES)
+    assert scanned.columns.count("text") == 1 and not {"text", "doc_id"} & set(scanned.schema["kept"].dataType.names)
+    assert secrets.scan_secrets(df).columns == [c for c in df.columns if c != "secret_spans"] + ["secret_spans"]
+
+
 def test_token_counts_are_those_of_the_library(spark, monkeypatch):
     import random
 

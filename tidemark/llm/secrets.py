@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import folded, partitions, unfolded
+from tidemark.llm.common import folded, partitions
 
 
 @dataclass(frozen=True)
@@ -195,11 +195,21 @@ def scan_secrets(docs: DataFrame, rules=RULES) -> DataFrame:
     id share the postings of that id and are each searched in their own text, so nothing is lost. Spans of
     different rules may overlap.
     """
-    return _scanned(docs, rules, ("secret_spans",)).select(*unfolded(docs, ("secret_spans",)), F.col("found").alias("secret_spans"))
+    rows = _scanned(docs, rules, ("secret_spans",))
+    return rows.select(*[_column(c) for c in docs.columns if c != "secret_spans"], F.col("found").alias("secret_spans"))
+
+
+#: Columns that stand beside the folded ones, so that a text travels once.
+BESIDE = ("doc_id", "text")
+
+
+def _column(name: str) -> Column:
+    """A column of the table that ``_scanned`` was given."""
+    return (F.col(name) if name in BESIDE else F.col("kept").getField(name)).alias(name)
 
 
 def _scanned(docs: DataFrame, rules, without: tuple[str, ...] = ()) -> DataFrame:
-    """``docs`` folded into one column, with text and the spans ``found`` in it."""
+    """Id, text, the other columns of ``docs`` folded into one, and the spans ``found`` in the text."""
     found = candidates(docs, rules).select(F.col("doc_id").alias("candidate_id"), F.col("rules").alias("candidate_rules"))
     full = tuple(r for r in rules if not trigram_query(r.pattern))
     always = [r.kind for r in full]
@@ -213,7 +223,7 @@ def _scanned(docs: DataFrame, rules, without: tuple[str, ...] = ()) -> DataFrame
             .otherwise(F.concat(F.coalesce("candidate_rules", F.expr("cast(array() as array<string>)")),
                                 F.when(possible, F.array(*map(F.lit, always))).otherwise(F.expr("cast(array() as array<string>)"))
                                 if always else F.expr("cast(array() as array<string>)"))))
-    rows = docs.select("doc_id", "text", folded(docs, without)).join(found, F.col("doc_id") == F.col("candidate_id"), "left")
+    rows = docs.select("doc_id", "text", folded(docs, (*without, *BESIDE))).join(found, F.col("doc_id") == F.col("candidate_id"), "left")
 
     @F.pandas_udf("array<struct<start:bigint,kind:string,end:bigint>>")
     def spans(text, kinds):
@@ -226,8 +236,8 @@ def _scanned(docs: DataFrame, rules, without: tuple[str, ...] = ()) -> DataFrame
             out.append([{"start": s, "kind": k, "end": e} for s, k, e in find_spans(t, wanted)] if t and wanted else [])
         return pd.Series(out)
 
-    return rows.select("kept", "text", todo.alias("todo")).select(
-        "kept", "text", spans(F.when(F.size("todo") > 0, F.col("text")), F.col("todo")).alias("found"))
+    return rows.select("doc_id", "text", "kept", todo.alias("todo")).select(
+        "doc_id", "text", "kept", spans(F.when(F.size("todo") > 0, F.col("text")), F.col("todo")).alias("found"))
 
 
 def listed(spans: Column) -> Column:
@@ -261,9 +271,9 @@ def redact(docs: DataFrame, rules=RULES, mask: str = "[secret]") -> DataFrame:
 
     hit = F.size("found") > 0
     new = {"text": F.when(hit, masked("text", "found")).otherwise(F.col("text"))}
-    scanned = _scanned(docs, rules).select("kept", hit.alias("hit"), new["text"].alias("text"))
+    scanned = _scanned(docs, rules).select("doc_id", "kept", hit.alias("hit"), new["text"].alias("text"))
     if "n_chars" in docs.columns:
         old = F.col("kept").getField("n_chars")
         new["n_chars"] = F.when(F.col("hit"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(old)
     new["text"] = F.col("text")
-    return scanned.select(*[new[c].alias(c) if c in new else F.col("kept").getField(c).alias(c) for c in docs.columns])
+    return scanned.select(*[new[c].alias(c) if c in new else _column(c) for c in docs.columns])
