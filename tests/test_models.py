@@ -312,3 +312,22 @@ def test_level_reference_of_named_pairs(spark):
     level = fit.where("env = 'E'").agg(F.avg("target")).first()[0]
     want = test.where("env = 'F' AND series_id = 's1'").agg(F.avg(F.abs(F.col("y_future") - level))).first()[0]
     assert named["E", "F", 1, "s1"] == pytest.approx(want)
+
+
+def test_cosines_by_table():
+    from tidemark.plans.linear import TURN, cosines
+
+    x = np.append(np.random.default_rng(2).normal(size=5000) * 20, [0.0, np.nan, np.inf])
+    with np.errstate(invalid="ignore"):
+        assert np.allclose(cosines(x * TURN / (2 * np.pi)), np.cos(x), rtol=0, atol=3e-14, equal_nan=True)
+
+
+def test_a_pass_of_the_kernel_model_multiplies_all_rows_once(spark, monkeypatch):
+    """Plain sums are taken in the first pass only; later ones send the shares of rows beyond WIDTH."""
+    from tidemark.plans import linear as M
+
+    rows = spark.createDataFrame([(float(i % 17), float(i % 5), float(i % 17) + (50.0 if i % 29 == 0 else 0.0)) for i in range(400)], "a double, b double, target double")
+    seen, one = [], M.KernelRegression._pass
+    monkeypatch.setattr(M.KernelRegression, "_pass", lambda self, r, todo, whole: seen.append(len(whole)) or one(self, r, todo, whole))
+    M.KernelRegression(["a", "b"], [], 12, 42).fit(rows, [1.0, 10.0])
+    assert len(seen) > 2 and seen[0] == 0 and set(seen[1:]) == {1}
