@@ -107,6 +107,21 @@ def test_window_across_series_is_caught(matrix, grid):
     assert _bad(Q.normalised_recheck(grid, shifted, stats, SPEC)) == {"target"}
 
 
+def test_lookups_take_no_shuffle_of_matrix_rows(grid):
+    """All lookups are made by series, in the partitioning that the matrix has; buckets that are left out are not bridged."""
+    import re
+
+    out = Q.normalised_recheck(grid, X.feature_matrix(grid, SPEC, mode="N1"), N.train_stats(grid, SPEC), SPEC)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not re.findall(r"hashpartitioning\([^)]*(?:bucket|_fb)", plan)
+    z = X.feature_matrix(grid, SPEC, mode="N1")
+    gap = z.groupBy("env", "series_id").agg(F.min("bucket").alias("low")).select("env", "series_id", (F.col("low") + 2).alias("bucket"))
+    left = grid.join(gap, ["env", "series_id", "bucket"], "left_anti")
+    found = {r.check: r.n_bad for r in Q.normalised_recheck(left, z, N.train_stats(grid, SPEC), SPEC).where("h = 1").collect()}
+    n = gap.count()
+    assert found["lag_1"] == found["value_at_t"] == found["target"] == found["target_present_in_raw"] == n
+
+
 def test_calendar_offset_is_caught(matrix, grid):
     assert _bad(Q.calendar_gate(matrix, SPEC, ["env"])) == set()
     angle = 2 * F.pi() * F.pmod(F.floor(F.col("bucket") / 24) + 3, F.lit(7)) / 7

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import FleetSpec
+from tidemark.functions.ordered import settle
 from tidemark.functions.scalar import SERIES, safe_div, series_window
 from tidemark.operators.catalog import REASONS
 from tidemark.operators.features import CALENDAR, calendar_features, feature_names
@@ -248,18 +249,28 @@ def recovered_parameters(raw_matrix: DataFrame, z_matrix: DataFrame, table: Data
 
 def normalised_recheck(grid: DataFrame, z_matrix: DataFrame, stats: DataFrame, spec: FleetSpec,
                        tol: float = 1e-9) -> DataFrame:
-    """N1 matrix rebuilt by key lookups instead of windows: lag, value, target, no bridged gap."""
-    k = ["env", "series_id", "bucket"]
-    m = z_matrix.join(stats.select(*SERIES, F.col("mu").alias("_mu"), F.col("sd").alias("_sd")), SERIES)
-
-    def look(name: str, shift: int | Column) -> DataFrame:
-        return grid.select("env", "series_id", (F.col("bucket") + shift).alias("bucket"),
-                           F.col("y").alias(name))
-
-    m = m.join(look("_p1", 1), k, "left").join(look("_p0", 0), k, "left")
-    m = m.join(look("_pl", spec.max_lag), k, "left")
-    future = grid.select("env", "series_id", F.col("bucket").alias("_fb"), F.col("y").alias("_pf"))
-    m = m.withColumn("_fb", F.col("bucket") + F.col("h")).join(future, ["env", "series_id", "_fb"], "left")
+    """N1 matrix rebuilt by key lookups instead of windows: lag, value, target, no bridged gap.
+
+    A series' values are one row, in the order of their buckets, so all lookups of a matrix row take one join by series.
+    """
+    cells = F.array_sort(F.collect_list(F.struct("bucket", "y")))
+    first, last = F.col("_v")[0]["bucket"], F.element_at("_v", -1)["bucket"]
+    dense = last - first + 1 == F.size("_v")
+    values = grid.groupBy(*SERIES).agg(cells.alias("_v")).select(
+        *SERIES, first.alias("_b0"), F.when(dense, F.col("_v")["y"]).alias("_y"), F.when(~dense, F.col("_v")).alias("_v"))
+    used = list(dict.fromkeys(["lag_1", "diff_1", f"lag_{spec.max_lag}", "target"]))
+    m = z_matrix.select(*SERIES, "h", "bucket", *used)
+    # Each made on its own, so that a task sorts one copy of the grid and not three.
+    stats = settle(stats.select(*SERIES, F.col("mu").alias("_mu"), F.col("sd").alias("_sd")))
+    m = m.join(stats, SERIES).join(settle(values), SERIES, "left")
+
+    def look(shift: int | Column) -> Column:
+        """The series' value ``shift`` buckets after the row's: by its place, or by a search where buckets are left out."""
+        bucket = F.col("bucket") + shift
+        return F.when(F.col("_v").isNull(), F.get("_y", (bucket - F.col("_b0")).cast("int"))).otherwise(
+            F.get(F.filter("_v", lambda v: v["bucket"] == bucket), F.lit(0))["y"])
+
+    m = m.select("env", "h", *used, "_mu", "_sd", look(-1).alias("_p1"), look(0).alias("_p0"), look(-spec.max_lag).alias("_pl"), look(F.col("h")).alias("_pf"))
 
     def z(c: str) -> Column:
         return safe_div(F.col(c) - F.col("_mu"), F.col("_sd"))
