@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import folded, partitions
+from tidemark.llm.common import batches_of_texts, folded, partitions
 
 
 @dataclass(frozen=True)
@@ -126,8 +126,7 @@ def trigram_index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
         known = np.zeros(1 << 24, bool)
         for t in table:
             known[t[0] << 16 | t[1] << 8 | t[2]] = True
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
+        for batch, texts in batches_of_texts(batches, 1):
             at, found = [], []
             for i, text in enumerate(texts):
                 b = np.frombuffer(text.encode().lower(), np.uint8)
@@ -139,7 +138,7 @@ def trigram_index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
                 hits = np.unique(code[known[code]])
                 at += [i] * len(hits)
                 found += [int(c).to_bytes(3, "big").decode() for c in hits]
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array(found, pa.string())],
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.string())],
                                              names=["doc_id", "trigram"])
 
     shard = F.pmod(F.xxhash64("doc_id"), F.lit(4 * partitions(docs.sparkSession)))
@@ -195,8 +194,15 @@ def scan_secrets(docs: DataFrame, rules=RULES) -> DataFrame:
     id share the postings of that id and are each searched in their own text, so nothing is lost. Spans of
     different rules may overlap.
     """
+    @F.pandas_udf("array<struct<start:bigint,kind:string,end:bigint>>")
+    def spans(text, kinds):
+        import pandas as pd
+
+        return pd.Series([[{"start": s, "kind": k, "end": e} for s, k, e in _spans_of(t, ks, rules)] for t, ks in zip(text, kinds, strict=True)])
+
     rows = _scanned(docs, rules, ("secret_spans",))
-    return rows.select(*[_column(c) for c in docs.columns if c != "secret_spans"], F.col("found").alias("secret_spans"))
+    found = spans(F.when(F.size("todo") > 0, F.col("text")), "todo")
+    return rows.select(*[_column(c) for c in docs.columns if c != "secret_spans"], found.alias("secret_spans"))
 
 
 #: Columns that stand beside the folded ones, so that a text travels once.
@@ -208,8 +214,14 @@ def _column(name: str) -> Column:
     return (F.col(name) if name in BESIDE else F.col("kept").getField(name)).alias(name)
 
 
+def _spans_of(text: str | None, kinds, rules) -> list[tuple[int, str, int]]:
+    """Spans of the rules named by ``kinds`` in one text; none in a null one."""
+    kinds = () if kinds is None else set(kinds)
+    return find_spans(text, wanted) if text and (wanted := [r for r in rules if r.kind in kinds]) else []
+
+
 def _scanned(docs: DataFrame, rules, without: tuple[str, ...] = ()) -> DataFrame:
-    """Id, text, the other columns of ``docs`` folded into one, and the spans ``found`` in the text."""
+    """Id, text, the other columns of ``docs`` folded into one, and the rules to search the text for (``todo``)."""
     found = candidates(docs, rules).select(F.col("doc_id").alias("candidate_id"), F.col("rules").alias("candidate_rules"))
     full = tuple(r for r in rules if not trigram_query(r.pattern))
     always = [r.kind for r in full]
@@ -224,20 +236,7 @@ def _scanned(docs: DataFrame, rules, without: tuple[str, ...] = ()) -> DataFrame
                                 F.when(possible, F.array(*map(F.lit, always))).otherwise(F.expr("cast(array() as array<string>)"))
                                 if always else F.expr("cast(array() as array<string>)"))))
     rows = docs.select("doc_id", "text", folded(docs, (*without, *BESIDE))).join(found, F.col("doc_id") == F.col("candidate_id"), "left")
-
-    @F.pandas_udf("array<struct<start:bigint,kind:string,end:bigint>>")
-    def spans(text, kinds):
-        import pandas as pd
-
-        out = []
-        for t, ks in zip(text, kinds, strict=True):
-            ks = () if ks is None else set(ks)
-            wanted = [r for r in rules if r.kind in ks]
-            out.append([{"start": s, "kind": k, "end": e} for s, k, e in find_spans(t, wanted)] if t and wanted else [])
-        return pd.Series(out)
-
-    return rows.select("doc_id", "text", "kept", todo.alias("todo")).select(
-        "doc_id", "text", "kept", spans(F.when(F.size("todo") > 0, F.col("text")), F.col("todo")).alias("found"))
+    return rows.select("doc_id", "text", "kept", todo.alias("todo"))
 
 
 def listed(spans: Column) -> Column:
@@ -251,29 +250,25 @@ def redact(docs: DataFrame, rules=RULES, mask: str = "[secret]") -> DataFrame:
     All rows stay, with the columns of the input. Null texts stay null.
     """
     @F.pandas_udf("string")
-    def masked(text, spans):
+    def masked(text, kinds):
         import pandas as pd
 
         out = []
-        for t, found in zip(text, spans, strict=True):
-            if t is None or found is None or not len(found):
-                out.append(t)
-                continue
+        for t, ks in zip(text, kinds, strict=True):
             parts, at = [], 0
-            for s, e in sorted((x["start"], x["end"]) for x in found):
+            for s, e in sorted((s, e) for s, _, e in _spans_of(t, ks, rules)):
                 if e <= at:
                     continue
                 if s >= at:
                     parts += [t[at:s], mask]
                 at = max(at, e)
-            out.append("".join([*parts, t[at:]]))
+            out.append("".join([*parts, t[at:]]) if at else None)
         return pd.Series(out)
 
-    hit = F.size("found") > 0
-    new = {"text": F.when(hit, masked("text", "found")).otherwise(F.col("text"))}
-    scanned = _scanned(docs, rules).select("doc_id", "kept", hit.alias("hit"), new["text"].alias("text"))
+    # Only texts with something to search for go to Python, once, and only masked ones come back.
+    new = {"text": F.coalesce("masked", "text")}
+    scanned = _scanned(docs, rules).select("doc_id", "text", "kept", masked(F.when(F.size("todo") > 0, F.col("text")), "todo").alias("masked"))
     if "n_chars" in docs.columns:
         old = F.col("kept").getField("n_chars")
-        new["n_chars"] = F.when(F.col("hit"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(old)
-    new["text"] = F.col("text")
+        new["n_chars"] = F.when(F.col("masked").isNotNull(), F.char_length("masked").cast(docs.schema["n_chars"].dataType)).otherwise(old)
     return scanned.select(*[new[c].alias(c) if c in new else _column(c) for c in docs.columns])
