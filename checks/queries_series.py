@@ -8,6 +8,7 @@ from checks import sql as S
 from checks.fleets import baseline_metrics, each, grid, matrix, rounded
 from checks.queries_features import PER_TEST
 from checks.registry import query
+from tidemark.functions.ordered import keep
 from tidemark.operators import acf as A
 from tidemark.operators import distribution as D
 from tidemark.operators import metrics as M
@@ -155,8 +156,10 @@ _GROUPS = ("ordr AS (SELECT series_id AS member, row_number() OVER (ORDER BY md5
            " THEN printf('Cg_%02d', (rn - n_all // 2 - 1) // 5) ELSE '' END AS series_id, member FROM ordr)")
 
 
-def _groups(spark, sf):
-    return R.halves_and_groups(grid(spark, sf, "C").select("series_id").distinct(), "series_id", None, 5, "Cs", "Cg")
+def _groups(spark, sf, ids=None):
+    """Groups of the supplier fleet; ``ids`` are its series where they are at hand."""
+    ids = grid(spark, sf, "C").select("series_id").distinct() if ids is None else ids
+    return R.halves_and_groups(ids, "series_id", None, 5, "Cs", "Cg")
 
 
 @query(S.q([*S.base(("C",)), _GROUPS], "SELECT env, series_id, member FROM grp"))
@@ -276,8 +279,10 @@ def series_descriptors(spark, sf):
 @query()
 def descriptor_clusters(spark, sf):
     """k-means on the descriptors of all fleets, applied to grouped series as well."""
-    desc = each(lambda e: D.descriptors(grid(spark, sf, e), SPECS[e]))
-    grouped = R.strict_group_mean(grid(spark, sf, "C"), _groups(spark, sf).where(F.col("env") == "Cg"))
+    # One row per series of the grid, so that groups are dealt without another scan; groups are averaged once.
+    desc = keep(each(lambda e: D.descriptors(grid(spark, sf, e), SPECS[e])))
+    groups = _groups(spark, sf, desc.where(F.col("env") == "C").select("series_id"))
+    grouped = keep(R.strict_group_mean(grid(spark, sf, "C"), groups.where(F.col("env") == "Cg")))
     assign = K.fit_clusters(desc, starts=3)
     both = assign(desc).unionByName(assign(D.descriptors(grouped, SPECS["C"])))
     return rounded(K.cluster_shares(both))

@@ -1,4 +1,5 @@
 import math
+import os
 import random
 
 import numpy as np
@@ -12,6 +13,7 @@ from tidemark.operators import gaps as P
 from tidemark.operators import strata as T
 from tidemark.plans import clusters as K
 
+SF = "/root/testdata/sf0.001"
 RNG = random.Random(11)
 AR = [50.0]
 for _ in range(99):
@@ -179,3 +181,25 @@ def test_ratio_to_naive_skips_zero_denominators(spark):
     r = D.ratio_to_naive(per).collect()
     assert [(x.series_id, x.ratio) for x in r] == [("b", 0.5)]
     assert D.box_summary(D.ratio_to_naive(per), ["env", "model"], "ratio").first().p50 == 0.5
+
+
+def test_cluster_shares_read_their_rows_once(spark):
+    rows = spark.range(10).select(F.when(F.col("id") < 4, "A").otherwise("B").alias("env"), (F.col("id") % 2).alias("cluster"))
+    shares = K.cluster_shares(rows)
+    assert shares._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+    assert {tuple(r) for r in shares.collect()} == {("A", 0, 2, 50.0), ("A", 1, 2, 50.0), ("B", 0, 3, 50.0), ("B", 1, 3, 50.0)}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
+def test_groups_for_clusters_are_dealt_without_another_grid(spark, monkeypatch):
+    from checks import queries_series as Q
+
+    own, asked, seen = Q.grid, [], {}
+    monkeypatch.setattr(Q, "grid", lambda spark, sf, e: asked.append(e) or own(spark, sf, e))
+    groups = Q._groups
+    monkeypatch.setattr(Q, "_groups", lambda *a: seen.setdefault("groups", groups(*a)))
+    monkeypatch.setattr(Q.K, "fit_clusters", lambda *a, **b: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        Q.descriptor_clusters(spark, SF)
+    assert asked.count("C") == 2  # one for the descriptors, one for the groups' means
+    assert sorted(seen["groups"].collect()) == sorted(groups(spark, SF).collect())

@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.ordered import keep
@@ -41,5 +41,5 @@ def fit_clusters(desc: DataFrame, k: int = 3, starts: int = 20, seed: int = 42):
 def cluster_shares(assigned: DataFrame) -> DataFrame:
     """Percent of each environment's series per cluster."""
     n = assigned.groupBy("env", "cluster").agg(F.count(F.lit(1)).alias("n"))
-    total = assigned.groupBy("env").agg(F.count(F.lit(1)).alias("_all"))
-    return n.join(total, "env").select("env", "cluster", "n", (100 * F.col("n") / F.col("_all")).alias("pct"))
+    total = F.sum("n").over(Window.partitionBy("env"))  # a row per cluster
+    return n.select("env", "cluster", "n", (100 * F.col("n") / total).alias("pct"))
