@@ -1,4 +1,5 @@
 import math
+import os
 import random
 from itertools import product
 
@@ -11,6 +12,8 @@ from tidemark.plans import transfer as T
 
 PAIRS = "k string, a double, b double"
 
+SF = "/root/testdata/sf0.01"
+
 
 def _normal(z):
     return math.erfc(abs(z) / math.sqrt(2))
@@ -155,6 +158,28 @@ def test_loss_table_and_its_tests(spark):
     assert med["A"].N1 == 1.0 and med["B"].N0 > 2.5
 
 
+def test_median_loss_needs_no_test(spark):
+    tr = _transfer(spark)
+    loss = H.loss_table(tr, tr.where("source = target"))
+    want = H.transfer_vs_diagonal(loss).select(*H.TRANSFER_KEYS, "loss_p50")
+    assert sorted(map(str, H.median_loss(loss).select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
+def test_scorecard_scores_only_what_it_asks_for(spark, monkeypatch):
+    from checks import queries_tests as Q
+
+    asked = [("B", "C", "N0"), ("A", "B", "N1"), ("B", "A", "N1")]
+    whole = {tuple(r)[:6]: tuple(r)[6:] for r in Q._loss(spark, SF).collect()}
+    seen, own = [], Q._loss
+    monkeypatch.setattr(Q, "_loss", lambda *a: seen.append(own(*a)) or seen[0])
+    Q.loss_scorecard(spark, SF).collect()
+    got = {tuple(r)[:6]: tuple(r)[6:] for r in seen[0].collect()}
+    want = {k: v for k, v in whole.items() if k[:3] in asked}
+    assert got.keys() == want.keys() and {k[:3] for k in got} == set(asked)
+    assert all(v == pytest.approx(want[k]) for k, v in got.items())
+
+
 def test_asymmetry_direction(spark):
     tr = _transfer(spark)
     loss = H.loss_table(tr, tr.where("source = target"))
